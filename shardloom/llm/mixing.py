@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, materialise
 
 MAX_EPOCHS = 3.0
 SEED = 17
@@ -53,13 +53,13 @@ def targets(sized: DataFrame, max_epochs: float = MAX_EPOCHS, weights: Column |
     return per.withColumn("target", F.least(F.col("_cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("_w"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """docs with added columns size, source_size, target, repeats and taken (words, repeats counted).
 
-    Columns of these names that the input may have are replaced.
+    size: a row's size, by default the words of its text.  Columns of the added names that the input may have are replaced.
     """
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.withColumn("size", size_of(F.col("text"))).withColumns({"_h": hashed, "_bin": F.substring(hashed, 1, BIN_DIGITS)})
+    rows = docs.withColumn("size", size_of(F.col("text")) if size is None else size).withColumns({"_h": hashed, "_bin": F.substring(hashed, 1, BIN_DIGITS)})
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("size"))
     goal = targets(bins.select("source", "size"), max_epochs).withColumns({
         "_whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
@@ -85,7 +85,8 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> Da
 
 
 def op2_query(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")  # the texts are read once
+    return mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(docs: DataFrame) -> DataFrame:
