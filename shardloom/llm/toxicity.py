@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token scores are log-odds ratios between toxic and other labelled texts with a Dirichlet prior (a half count a
-token plus the corpus's own frequencies); only tokens whose ratio is significant score above zero, all others
-score a small drift below it.  One linear scan of a text finds all its maximal scoring segments, the
+token plus the corpus's own frequencies).  A token is a word, or its first or last few letters, which stand for a stem
+or an ending; a word scores as its best token.  Only tokens whose ratio is significant score above zero, all other
+words score a small drift below it.  One linear scan of a text finds all its maximal scoring segments, the
 passages.  Passage scores are calibrated by extreme-value statistics: lambda solves the scores' moment equation over
 harmless text, K is fitted to the best segments of harmless texts, and a passage's p-value is that of
 finding one as good in a harmless text of that length.  A text's score is logistic in the p-values of its best
@@ -30,10 +31,14 @@ from ._common import bounded_batches, crc_fold
 
 #: Labelled documents that training sees at most.
 SAMPLE = 6000
-#: Strength of the corpus part of the prior, in tokens; and the z-value a token must reach.
-PRIOR, SIGNIFICANT = 200.0, 3.0
-#: Score of every token that isn't significant.
-DRIFT = -0.1
+#: Strength of the corpus part of the prior, in tokens; and the z-values a word and a part of one must reach.
+PRIOR, SIGNIFICANT, SIGNIFICANT_PART = 200.0, 3.2, 4.5
+#: Lengths in bytes of the parts of words.
+PARTS = (4, 5, 6)
+#: Words whose scores a worker remembers.
+MEMORY = 500_000
+#: Score of every word without a significant token, and the least score of one with.
+DRIFT, LEAST = -0.1, 1.0
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -42,6 +47,20 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+def tokens_of(word: bytes) -> list[bytes]:
+    """A word, and its first and last letters (marked by what they lack)."""
+    return [word, *(word[:n] + b"-" for n in PARTS if len(word) > n), *(b"-" + word[-n:] for n in PARTS if len(word) > n)]
+
+
+def spread(of_words: Counter) -> Counter:
+    """Counts of words to counts of all their tokens."""
+    out: Counter = Counter()
+    for w, n in of_words.items():
+        for t in tokens_of(w):
+            out[t] += n
+    return out
+
+
 def log_odds(toxic: Counter, other: Counter, prior: float = PRIOR) -> dict[bytes, tuple[float, float]]:
     """Token to (log-odds ratio, z-value)."""
     n1, n0 = sum(toxic.values()), sum(other.values())
@@ -83,13 +102,31 @@ class Model:
     decay: float = 1.0
     scale: float = 1.0
     weights: tuple[float, float, float] = (-30.0, 0.0, 0.0)
+    known: dict[bytes, float] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def gain(self, word: bytes) -> float:
+        """A word's score: its best token's, or 0 where none is significant."""
+        best = max((self.gains.get(t, 0.0) for t in tokens_of(word)), default=0.0)
+        self.known[word] = best
+        return best
 
     def passages(self, text: bytes | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Words of the text, and its passages: first word, last word, score, p-value."""
         own = words(text)
-        gains = self.gains
-        places = [k for k, w in enumerate(own) if w in gains]
-        found = segments(places, [gains[own[k]] for k in places])
+        if not self.gains:
+            return len(own), []
+        known, distinct = self.known, set(own)
+        if len(known) + len(distinct) > MEMORY:
+            known.clear()
+        for w in distinct:
+            if w not in known:
+                self.gain(w)
+        each = list(map(known.__getitem__, own))
+        places = [k for k, g in enumerate(each) if g]
+        found = segments(places, [each[k] for k in places])
         return len(own), [(a, b, s, self.p_value(s, len(own))) for a, b, s in found]
 
     def p_value(self, score: float, n: int) -> float:
@@ -113,13 +150,13 @@ def train(texts: list[bytes], toxic: list[int]) -> Model:
         return model
     seen = {0: Counter(), 1: Counter()}
     for t, y in zip(texts, toxic, strict=True):
-        seen[y].update(words(t))
-    odds = log_odds(seen[1], seen[0])
-    model.gains = {w: min(d, 8.0) for w, (d, z) in odds.items() if z >= SIGNIFICANT and d > 0.2}
+        seen[y].update(set(words(t)))  # once a text: words come in bursts
+    odds = log_odds(spread(seen[1]), spread(seen[0]))
+    model.gains = {t: min(d, 8.0) for t, (d, z) in odds.items() if d > LEAST and z >= (SIGNIFICANT_PART if t[:1] == b"-" or t[-1:] == b"-" else SIGNIFICANT)}
     # lambda: the expected growth of exp(lambda * score) over harmless tokens is 1
     n0 = max(1, sum(seen[0].values()))
-    up = [(seen[0].get(w, 0) + 0.5, g) for w, g in model.gains.items()]
-    share = [(c / (n0 + 0.5 * len(up)), g) for c, g in up]
+    up = [(n, g) for w, n in seen[0].items() if (g := model.gain(w))]
+    share = [(n / (n0 + 0.5), g) for n, g in up] or [(0.5 / n0, 1.0)]
     rest = max(0.0, 1 - sum(p for p, _ in share))
     low, high = 1e-6, 30.0
     for _ in range(100):
