@@ -79,8 +79,8 @@ class Encoder:
     def _add(self, chunks: set[str]) -> None:
         # letters and a mark after them are pre-tokens of their own, so their ids follow one another
         ended = [c for c in chunks if c[-1] in ".,;:!?" and c[:-1].isalpha()]
-        need = (chunks.difference(ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}) - self.number.keys()
-        fresh = list(need)
+        need = chunks.difference(ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}
+        fresh = [c for c in need if c not in self.number]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -93,7 +93,7 @@ class Encoder:
         if len(self.number) > MEMORY:
             self._clear()
         cut: list[list[str] | None] = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = set().union(*(c for c in cut if c)) - self.number.keys()
+        new = {c for c in set().union(*(c for c in cut if c)) if c not in self.number}
         if new:
             self._add(new)
         sizes = [len(c) if c else 0 for c in cut]
