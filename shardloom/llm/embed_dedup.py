@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, parts
 from ._components import components
 
 THRESHOLD = 0.95
@@ -174,9 +174,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         edges = pd.DataFrame({"node": u, "links": np.zeros(len(u), np.int64), "other": pd.Series(v, dtype="Int64")})
         return pd.concat([counts, edges], ignore_index=True)
 
-    # many small buckets in one call; tiles of crowded ones alone
-    lane = F.when(F.col("b") > 0, F.xxhash64("table", "bucket", "a", "b")).otherwise(F.pmod(F.xxhash64("table", "bucket"), F.lit(1 << 16)))
-    results = materialise(keyed.withColumn("lane", lane).groupBy("lane").applyInPandas(compare, "node long, links long, other long"), "vector-links")
+    # small buckets share a lane; tiles of crowded ones have lanes of their own.  The number of partitions is given, since
+    # the work follows the comparisons and not the bytes by which partitions would be joined up
+    lanes = 4 * parts(spark)
+    lane = F.when(F.col("b") > 0, F.xxhash64("table", "bucket", "a", "b")).otherwise(F.pmod(F.xxhash64("table", "bucket"), F.lit(lanes)))
+    results = materialise(keyed.withColumn("lane", lane).repartition(lanes, "lane").groupBy("lane").applyInPandas(compare, "node long, links long, other long"), "vector-links")
     degree = results.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     found = components(results.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = classes.select("class", "node", "size", "low").join(degree, "node", "left").join(found, "node", "left")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialise
+from ._common import bounded_batches, materialise, parts
 from ._components import components
 
 #: Rows of a tile: different fingerprints under one key that are compared in one go.
@@ -121,23 +121,28 @@ def links(prints: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, vs = [], []
-        for (_, _, a, b), g in pdf.groupby(["table", "key", "a", "b"], sort=False):
-            if a == b:
-                fp, ids = g["fp"].to_numpy().view(np.uint64), g["id"].to_numpy()
-                i, j = forest(fp, fp, True, max_bits)
-                us.append(ids[i])
-                vs.append(ids[j])
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pdf = pdf.sort_values(["table", "key", "a", "b", "second"], kind="stable")
+        fp, ids, second = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["second"].to_numpy()
+        name = pdf[["table", "key", "a", "b"]].to_numpy(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1)))).tolist()
+        for x, z in zip(edges, [*edges[1:], len(pdf)], strict=True):
+            if name[x, 2] == name[x, 3]:
+                i, j = forest(fp[x:z], fp[x:z], True, max_bits)
+                us.append(ids[x:z][i])
+                vs.append(ids[x:z][j])
             else:
-                x, y = g[~g["second"]], g[g["second"]]
-                i, j = forest(x["fp"].to_numpy().view(np.uint64), y["fp"].to_numpy().view(np.uint64), False, max_bits)
-                us.append(x["id"].to_numpy()[i])
-                vs.append(y["id"].to_numpy()[j])
+                y = x + int((~second[x:z]).sum())
+                i, j = forest(fp[x:y], fp[y:z], False, max_bits)
+                us.append(ids[x:y][i])
+                vs.append(ids[y:z][j])
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    # many small groups in one call: group by a coarser number, with room for the tiles of hot keys
-    lanes = F.when(F.col("b") > 0, F.col("group")).otherwise(F.pmod(F.col("group"), F.lit(4096 * 16)).cast("long"))
-    return keyed.withColumn("lane", lanes).groupBy("lane").applyInPandas(run, "u long, v long")
+    # small groups share a lane; tiles of hot keys have lanes of their own.  The number of partitions is given, since
+    # the work follows the comparisons and not the bytes by which partitions would be joined up
+    n = 4 * parts(prints.sparkSession)
+    lanes = F.when(F.col("b") > 0, F.col("group")).otherwise(F.pmod(F.col("group"), F.lit(n)).cast("long"))
+    return keyed.withColumn("lane", lanes).repartition(n, "lane").groupBy("lane").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
