@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # ids that end a pre-token, where the vocabulary marks them
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(1 << 16, bool)
+        if suffix:
+            self.ends[[k for t, k in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -72,6 +78,28 @@ class Encoder:
         self.number[chunk], self.start[k], self.length[k] = k, self.used, len(ids)
         self.used += len(ids)
 
+    def _lines(self, words_: list[str], width: int = 200) -> list[str]:
+        """Encode lines of words and cut the ids where words end; gives the words of lines where that doesn't add up."""
+        odd: list[str] = []
+        groups = [words_[k : k + width] for k in range(0, len(words_), width)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint16)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group) or not len(ids) or stops[-1] != len(ids):
+                odd += group
+                continue
+            k = len(self.number)
+            while k + len(group) > len(self.start):
+                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
+            self.flat[self.used : self.used + len(ids)] = ids
+            starts = np.concatenate(([0], stops[:-1]))
+            self.start[k : k + len(group)], self.length[k : k + len(group)] = self.used + starts, stops - starts
+            self.number.update(zip(group, range(k, k + len(group)), strict=True))
+            self.used += len(ids)
+        return odd
+
     def _ids(self, chunk: str) -> np.ndarray:
         k = self.number[chunk]
         return self.flat[self.start[k] : self.start[k] + self.length[k]]
@@ -81,6 +109,8 @@ class Encoder:
         ended = [c for c in chunks if c[-1] in ".,;:!?" and c[:-1].isalpha()]
         need = chunks.difference(ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}
         fresh = [c for c in need if c not in self.number]
+        if self.ends.any():  # words of letters alone are one pre-token each, and may share a line
+            fresh = self._lines([c for c in fresh if c.isalpha()]) + [c for c in fresh if not c.isalpha()]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -97,7 +127,7 @@ class Encoder:
         if new:
             self._add(new)
         sizes = [len(c) if c else 0 for c in cut]
-        which = np.fromiter((k for c in cut if c for k in map(self.number.__getitem__, c)), np.int64, sum(sizes))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, sum(sizes))
         lens = self.length[which]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.start[which] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
@@ -313,7 +343,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if ids:
             yield flush()
 
-    by = coded.repartitionByRange(_ranges(coded), F.col("doc_id").asc_nulls_first(), F.col("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    by = coded.repartitionByRange(_ranges(coded), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     by.mapInArrow(run, "part int, seq int, n long, image binary").write.parquet(f"{path}/shards")
     forget(spark, staged)
 
