@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, forget, materialise, parts, scratch_path
+from ._common import bounded_batches, forget, materialise, parts, release, scratch_path
 
 LENGTH, SEED = 50, 24
 SIDE = LENGTH - SEED
@@ -44,7 +44,7 @@ NO_ID = 2**63 - 1
 def _pack(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(raw: bytes) -> bytes:
@@ -444,6 +444,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bits = max(4, int(np.ceil(np.log2(max(4 * parts(spark), (plan["n"] or 1) / BUCKET_ANCHORS)))))
     alive_path = scratch_path(spark, "shared-anchors")
     shared_anchors(base, bits).where("alive > 0").write.parquet(alive_path)
+    release(spark)
     alive = spark.read.parquet(alive_path)
     n_alive = alive.agg(F.sum("alive")).first()[0] or 0
     n_ranges = int(max(2 * parts(spark), n_alive // RANGE_SUFFIXES))
@@ -464,25 +465,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 some[at : at + x["n"]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]).astype(bool)
             rows, fields, spans = suffix_run(chunk, some[inverse])
             if len(spans):
-                out.append((-1, r["chunk"], _pack(spans.astype("<u4").tobytes())))
+                out.append((int(r["chunk"]) % n_ranges, r["chunk"], True, _pack(spans.astype("<u4").tobytes())))
             if len(rows):
                 first = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(1)
                 piece = np.searchsorted(splitters, first, side="right")
                 edge = np.flatnonzero(np.diff(piece, prepend=-1))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
-                    out.append((int(piece[a]), r["chunk"], Run.dump(rows[a:b], {k: v[a:b] for k, v in fields.items()})))
-        return pd.DataFrame(out, columns=["range", "chunk", "payload"]).astype({"range": "int32", "chunk": "int64"})
+                    out.append((int(piece[a]), r["chunk"], False, Run.dump(rows[a:b], {k: v[a:b] for k, v in fields.items()})))
+        return pd.DataFrame(out, columns=["range", "chunk", "done", "payload"]).astype({"range": "int32", "chunk": "int64", "done": bool})
 
-    both = base.select(*columns).groupBy("chunk").cogroup(alive.groupBy("chunk")).applyInPandas(runs_of, "range int, chunk long, payload binary")
-    sent = materialise(both, "suffix-runs")
+    both = base.select(*columns).groupBy("chunk").cogroup(alive.groupBy("chunk")).applyInPandas(runs_of, "range int, chunk long, done boolean, payload binary")
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = judge_range([Run.load(x) for x in pdf["payload"]], pdf["chunk"].tolist())
-        return pd.DataFrame(found, columns=["chunk", "payload"]).astype({"chunk": "int64"})
+        own = pdf[~pdf["done"]]
+        found = judge_range([Run.load(x) for x in own["payload"]], own["chunk"].tolist()) if len(own) else []
+        return pd.concat([pdf.loc[pdf["done"], ["chunk", "payload"]], pd.DataFrame(found, columns=["chunk", "payload"]).astype({"chunk": "int64"})], ignore_index=True)
 
-    spans = sent.where("range >= 0").groupBy("range").applyInPandas(merged, "chunk long, payload binary")
-    spans = materialise(spans.union(sent.where("range < 0").select("chunk", "payload")), "suffix-spans")
+    dealt = both.repartition(n_ranges, "range") if n_ranges <= 4096 else both
+    spans = materialise(dealt.groupBy("range").applyInPandas(merged, "chunk long, payload binary"), "suffix-spans")
+    del both, dealt, alive
     forget(spark, alive_path)
+    release(spark)
 
     def cleaned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
