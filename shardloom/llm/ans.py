@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +65,53 @@ class Encoder:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint16), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _put(self, chunk: str, ids) -> None:
-        k = len(self.number)
-        if k == len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
+        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.start, self.length, self.uses = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _append(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember chunks whose ids follow one another."""
+        k, n = len(self.number), len(names)
+        while k + n > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.number[chunk], self.start[k], self.length[k] = k, self.used, len(ids)
+        self.start[k : k + n], self.length[k : k + n], self.uses[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths, 0
+        self.number.update(zip(names, range(k, k + n), strict=True))
         self.used += len(ids)
 
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered chunks one after another, and how many each has."""
+        lens = self.length[which]
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.start[which] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)], lens
+
+    def _forget(self) -> None:
+        """Keep what was used more than once since it was learnt."""
+        names = np.array(list(self.number), dtype=object)
+        keep = np.flatnonzero(self.uses[: len(names)] > 1)
+        if len(keep) > MEMORY // 2:
+            keep = keep[:0]
+        ids, lens = self._gather(keep)
+        self._clear()
+        self._append(names[keep].tolist(), ids, lens)
+
+    def _add(self, chunks: set[str]) -> None:
+        # letters and a mark after them are pre-tokens of their own, so their ids follow one another
+        ended = [c for c in chunks if c[-1] in ".,;:!?" and c[:-1].isalpha()]
+        need = chunks.difference(ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}
+        fresh = [c for c in need if c not in self.number]
+        if self.ends.any():  # words of letters alone are one pre-token each, and may share a line
+            fresh = self._lines([c for c in fresh if c.isalpha()]) + [c for c in fresh if not c.isalpha()]
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            each = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.array([x for ids in each for x in ids], np.uint16), np.array([len(x) for x in each], np.int64))
+        if ended:
+            pairs = np.array([k for c in ended for k in (self.number[c[:-1]], self.number[c[-1]])], np.int64)
+            ids, lens = self._gather(pairs)
+            self._append(ended, ids, lens.reshape(-1, 2).sum(axis=1))
+
     def _lines(self, words_: list[str], width: int = 200) -> list[str]:
         """Encode lines of words and cut the ids where words end; gives the words of lines where that doesn't add up."""
         odd: list[str] = []
@@ -88,49 +122,26 @@ class Encoder:
             if len(stops) != len(group) or not len(ids) or stops[-1] != len(ids):
                 odd += group
                 continue
-            k = len(self.number)
-            while k + len(group) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
-            self.flat[self.used : self.used + len(ids)] = ids
-            starts = np.concatenate(([0], stops[:-1]))
-            self.start[k : k + len(group)], self.length[k : k + len(group)] = self.used + starts, stops - starts
-            self.number.update(zip(group, range(k, k + len(group)), strict=True))
-            self.used += len(ids)
+            self._append(group, ids, np.diff(stops, prepend=0))
         return odd
 
-    def _ids(self, chunk: str) -> np.ndarray:
-        k = self.number[chunk]
-        return self.flat[self.start[k] : self.start[k] + self.length[k]]
-
-    def _add(self, chunks: set[str]) -> None:
-        # letters and a mark after them are pre-tokens of their own, so their ids follow one another
-        ended = [c for c in chunks if c[-1] in ".,;:!?" and c[:-1].isalpha()]
-        need = chunks.difference(ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}
-        fresh = [c for c in need if c not in self.number]
-        if self.ends.any():  # words of letters alone are one pre-token each, and may share a line
-            fresh = self._lines([c for c in fresh if c.isalpha()]) + [c for c in fresh if not c.isalpha()]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._put(chunk, e.ids)
-        for c in ended:
-            self._put(c, np.concatenate((self._ids(c[:-1]), self._ids(c[-1]))))
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
         if len(self.number) > MEMORY:
-            self._clear()
+            self._forget()
         cut: list[list[str] | None] = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = {c for c in set().union(*(c for c in cut if c)) if c not in self.number}
-        if new:
-            self._add(new)
         sizes = [len(c) if c else 0 for c in cut]
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, sum(sizes))
-        lens = self.length[which]
+        every = list(chain.from_iterable(c for c in cut if c))
+        which = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            names = [every[k] for k in new.tolist()]
+            self._add(set(names))
+            which[new] = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        n = len(self.number)
+        self.uses[:n] += np.bincount(which, minlength=n)
+        ids, lens = self._gather(which)
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.start[which] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
         per = np.zeros(len(texts), np.int64)
         bounds = np.cumsum(sizes)
         total = np.concatenate(([0], ends))
