@@ -67,11 +67,9 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 _ODD = (np.random.default_rng(9).integers(1, 2**62, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of the anchors in texts laid end to end."""
+def _ranks(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A rank for each seed string, and the smallest rank in each string of LENGTH bytes (0 where it crosses a text's end)."""
     n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         power, have, now = np.uint64(0x9E3779B97F4A7C15), 1, _ODD[data]
         at8 = None
@@ -85,15 +83,35 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         now ^= now >> np.uint64(31)
         now *= np.uint64(0xD6E8FEB86659FD93)
         rank = np.maximum((now >> np.uint64(32)).astype(np.uint32), 1)
-    low = _slide(rank, SIDE + 1, np.minimum)  # one value for each string of LENGTH bytes
+    low = _slide(rank, SIDE + 1, np.minimum)
     ends = np.cumsum(lengths)
     inside = np.zeros(n + 1, np.int32)
     fits = lengths >= LENGTH
     np.add.at(inside, (ends - lengths)[fits], 1)
     np.add.at(inside, (ends - LENGTH + 1)[fits], -1)
-    low[np.cumsum(inside)[: len(low)] == 0] = 0  # strings that cross a text's end
-    padded = np.concatenate([np.zeros(SIDE, np.uint32), low, np.zeros(SIDE, np.uint32)])
-    return np.flatnonzero(_slide(padded, SIDE + 1, np.maximum) == rank)
+    low[np.cumsum(inside)[: len(low)] == 0] = 0
+    return rank, low
+
+
+def _padded(low: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(SIDE, np.uint32), low, np.zeros(SIDE, np.uint32)])
+
+
+def anchors(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of the anchors in texts laid end to end."""
+    if len(data) < LENGTH:
+        return np.zeros(0, np.int64)
+    rank, low = _ranks(data, lengths)
+    return np.flatnonzero(_slide(_padded(low), SIDE + 1, np.maximum) == rank)
+
+
+def reach(data: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the strings whose smallest rank an anchor has go to its left, and beyond its seed string."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rank, low = _ranks(data, lengths)
+    mine = np.lib.stride_tricks.sliding_window_view(_padded(low), SIDE + 1)[at] == rank[at][:, None]  # strings from SIDE bytes before on
+    return SIDE - mine.argmax(axis=1), SIDE - mine[:, ::-1].argmax(axis=1)
 
 
 def seed_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -254,9 +272,9 @@ def front_decode(common: np.ndarray, rest: bytes, width: int) -> np.ndarray:
 
 
 class Run:
-    """Sorted suffixes with what stands to their left, and where they are."""
+    """Sorted suffixes with what stands to their left, and where they are; an id is kept as its distance from doc."""
 
-    FIELDS = (("left", np.uint8, SIDE), ("n_left", np.uint8, 1), ("n_right", np.uint8, 1), ("ids", np.int64, 1), ("doc", np.uint32, 1), ("pos", np.uint32, 1))
+    FIELDS = (("left", np.uint8, SIDE), ("n_left", np.uint8, 1), ("n_right", np.uint8, 1), ("shift", np.int64, 1), ("doc", np.uint32, 1), ("pos", np.uint32, 1))
 
     def __init__(self, rows: np.ndarray, common: np.ndarray, **fields: np.ndarray):
         self.rows, self.common = rows, common
@@ -277,7 +295,9 @@ class Run:
         for name, kind, width in cls.FIELDS:
             fields[name] = np.frombuffer(raw, kind, n * width, at).reshape((n, width) if width > 1 else n)
             at += n * width * np.dtype(kind).itemsize
-        return cls(rows, common, **fields)
+        run = cls(rows, common, **fields)
+        run.ids = run.shift + run.doc
+        return run
 
 
 def suffix_run(chunk: Chunk, alive: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -286,8 +306,7 @@ def suffix_run(chunk: Chunk, alive: np.ndarray) -> tuple[np.ndarray, dict[str, n
     doc = np.searchsorted(chunk.ends, at, side="right")
     padded = np.concatenate([np.zeros(SIDE, np.uint8), chunk.data, np.zeros(LENGTH, np.uint8)])
     view = np.lib.stride_tricks.sliding_window_view(padded, SIDE + LENGTH)[at]
-    n_left = np.minimum(at - chunk.starts[doc], SIDE)
-    n_right = np.minimum(chunk.ends[doc] - at - SEED, SIDE)
+    n_left, n_right = reach(chunk.data, chunk.lengths, at)
     left = np.where(np.arange(SIDE) < n_left[:, None], view[:, :SIDE][:, ::-1], 0).astype(np.uint8)
     rows = np.where(np.arange(LENGTH) < (n_right + SEED)[:, None], view[:, SIDE:], 0).astype(np.uint8)
     whole = np.ascontiguousarray(np.concatenate([rows, left, n_left[:, None].astype(np.uint8), n_right[:, None].astype(np.uint8)], axis=1))
@@ -302,7 +321,7 @@ def suffix_run(chunk: Chunk, alive: np.ndarray) -> tuple[np.ndarray, dict[str, n
     gone = known & (n_left + n_right >= SIDE)
     spans = np.stack([doc[gone], (pos - n_left)[gone], (pos + SEED + n_right)[gone]], axis=1)
     keep = ~known
-    fields = {"left": left[keep], "n_left": n_left[keep], "n_right": n_right[keep], "ids": ids[keep], "doc": doc[keep], "pos": pos[keep]}
+    fields = {"left": left[keep], "n_left": n_left[keep], "n_right": n_right[keep], "shift": ids[keep] - doc[keep], "doc": doc[keep], "pos": pos[keep]}
     return rows[keep], fields, spans
 
 
@@ -388,7 +407,7 @@ def judge_range(runs: list[Run], owners: list[int]) -> list[tuple[int, bytes]]:
     by_run = np.argsort(order, kind="stable")
     nth[by_run] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
     flat = (np.cumsum(size) - size)[order] + nth
-    take = {name: np.concatenate([getattr(r, name) for r in runs])[flat] for name, _, _ in Run.FIELDS}
+    take = {name: np.concatenate([getattr(r, name) for r in runs])[flat] for name in ("left", "n_left", "n_right", "ids", "doc", "pos")}
     # strings that share their seed only with their own document are out
     fresh = common < SEED
     group = np.cumsum(fresh) - 1
@@ -491,11 +510,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         out = []
         for _, r in left.iterrows():
             chunk = Chunk.of(r["ids"], r["lengths"], r["anchors"], r["blob"])
-            change = np.zeros(len(chunk.data) + 1, np.int64)
-            for raw in right["payload"]:
-                s = np.frombuffer(_unpack(raw), "<u4").reshape(-1, 3).astype(np.int64)
-                change += np.bincount(chunk.starts[s[:, 0]] + s[:, 1], minlength=len(change))
-                change -= np.bincount(chunk.starts[s[:, 0]] + s[:, 2], minlength=len(change))
+            s = np.frombuffer(b"".join(map(_unpack, right["payload"])), "<u4").reshape(-1, 3).astype(np.int64)
+            size = len(chunk.data) + 1
+            change = np.bincount(chunk.starts[s[:, 0]] + s[:, 1], minlength=size) - np.bincount(chunk.starts[s[:, 0]] + s[:, 2], minlength=size)
             gone = np.cumsum(change)[:-1] > 0
             rise = gone.copy()
             rise[1:] &= ~gone[:-1]
