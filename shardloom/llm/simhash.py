@@ -14,6 +14,7 @@ of their fingerprint, whose id is the smallest doc_id that isn't null (null if t
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -29,27 +30,33 @@ from ._components import components
 TILE = 1024
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of one text's word shingles as an unsigned 64-bit number."""
+def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; none for a text without words."""
     import xxhash
 
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        stops = ends[width - 1 :].tolist()
-        starts = [0, *(ends[: len(words) - width] + 1).tolist()]
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    stops = ends[width - 1 :].tolist()
+    starts = [0, *(ends[: len(words) - width] + 1).tolist()]
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Eight bytes: each bit that more than half of the hashes have, the highest first."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
-        part = np.array(hashes[at : at + 8192], dtype=">u8")
+        part = hashes[at : at + 8192].astype(">u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    return np.packbits(total * 2 > len(hashes))
+
+
+def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of one text's word shingles as an unsigned 64-bit number."""
+    return int.from_bytes(majority(shingle_hashes(text, width, seed)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -78,30 +85,20 @@ def _signed(x: int) -> int:
 
 
 def forest(left: np.ndarray, right: np.ndarray, same: bool, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a spanning forest of the links between two lists of fingerprints."""
+    """Positions of a spanning forest of the links between two lists of fingerprints; [n] or [n, words] of 64 bits."""
+    left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
     n = len(left)
-    parent = np.arange(n + (0 if same else len(right)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(n if same else n + len(right))
+    shift = 0 if same else n
     out_a, out_b = [], []
     for i in range(n):
-        near = np.flatnonzero(np.bitwise_count(right[i + 1 :] ^ left[i]) <= max_bits) + i + 1 if same else np.flatnonzero(np.bitwise_count(right ^ left[i]) <= max_bits)
-        if not len(near):
-            continue
-        offset = 0 if same else n
-        for j in near.tolist():
-            if parent[j + offset] == parent[i]:
-                continue
-            a, b = root(i), root(j + offset)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out_a.append(i)
-                out_b.append(j)
+        near = np.bitwise_count(right ^ left[i]).sum(axis=1, dtype=np.int64) <= max_bits
+        there = label[shift:]
+        while (todo := near & (there != label[i])).any():
+            j = int(todo.argmax())
+            label[label == there[j]] = label[i]
+            out_a.append(i)
+            out_b.append(j)
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
@@ -163,11 +160,121 @@ def op10_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- texts of a similarity
+
+#: Words of 64 bits that a wide fingerprint has, and the share of pairs right at the similarity that may be missed.
+WIDE, MISS = 4, 0.04
+#: Fingerprints that may share a key by chance, about.
+CHANCE = 2
+
+
+def bit_distance(similarity: float) -> float:
+    """The share of bits by which texts differ whose shingle sets have a Jaccard similarity; sets of one size are assumed."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: bytes | None, width: int = 5, seed: int = 42) -> bytes:
+    """A SimHash of 64 * WIDE bits: the majority over several mixes of each shingle's XXH64."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return bytes(8 * WIDE)
+    out = b""
+    for k in range(WIDE):
+        with np.errstate(over="ignore"):
+            x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out += majority(x).tobytes()
+    return out
+
+
+def plan_keys(n: int, similarity: float) -> tuple[np.ndarray, int]:
+    """Bits that each key samples, [keys, bits], for n fingerprints, and the bits by which a pair may differ."""
+    far = bit_distance(similarity)
+    total = 64 * WIDE
+    most = round(total * far + 2 * math.sqrt(total * far * (1 - far)))
+    bits = max(14, math.ceil(math.log2(max(2.0, n / CHANCE))))
+    keys = math.ceil(math.log(MISS) / math.log(1 - (1 - far) ** bits))
+    rng = np.random.default_rng(41)
+    return np.stack([np.sort(rng.choice(total, bits, replace=False)) for _ in range(keys)]), most
+
+
+def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: int = 512) -> DataFrame:
+    """(doc_id, component_id): texts linked at a similarity of their shingle sets, by wide fingerprints.
+
+    At such a similarity fingerprints differ in a seventh of their bits, and blocks that are sure to hold no difference would
+    be too short to tell texts apart.  Here a block is a sample of bits long enough to be rare, and there are so many of them that a
+    pair right at the similarity shares one but in MISS of all cases (closer pairs practically always).  Candidates are verified
+    by the Hamming distance of the whole fingerprints.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+
+    def prints_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, width) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prints = materialise(plain.mapInArrow(prints_of, "doc_id long, fp binary"), "wide-simhash")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.xxhash64("fp")), "wide-distinct")
+    samples, most = plan_keys(distinct.count(), similarity)
+    weights = 1 << np.arange(samples.shape[1], dtype=np.int64)
+
+    def keys_of(batches):
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+            bits = np.unpackbits(raw, axis=1)
+            keys = np.stack([bits[:, s] @ weights for s in samples], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    keyed = distinct.select("id", "fp").mapInArrow(keys_of, "id long, fp binary, keys array<long>")
+    names = keyed.select("id", "fp", F.posexplode("keys").alias("table", "key")).withColumn("name", F.xxhash64("table", "key"))
+    crowd = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    met = names.select("id", "fp", "name").join(crowd, "name").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("name", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("second"), "id", "fp")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["name", "a", "b", "second"], kind="stable")
+        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(-1, WIDE)
+        ids, second, name = pdf["id"].to_numpy(), pdf["second"].to_numpy(), pdf[["name", "a", "b"]].to_numpy(np.int64)
+        group = np.cumsum(np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1)))) - 1
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.append(start, len(group)))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        small = (size <= 24) & (name[start, 1] == name[start, 2])
+        mine = small[group]
+        for step in range(1, 24):  # small groups: every row with the one so many rows on
+            i = np.flatnonzero(mine[:-step] & (group[step:] == group[:-step])) if step < len(group) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= most]
+            us.append(ids[i])
+            vs.append(ids[i + step])
+        for x, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+            y = x + m if name[x, 1] == name[x, 2] else x + int((~second[x : x + m]).sum())
+            i, j = forest(fp[x:y], fp[x:y], True, most) if y == x + m else forest(fp[x:y], fp[y : x + m], False, most)
+            us.append(ids[x:y][i])
+            vs.append((ids[x:y] if y == x + m else ids[y : x + m])[j])
+        out = pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        return out.drop_duplicates()
+
+    n = 4 * parts(spark)
+    lane = F.when(F.col("b") > 0, F.xxhash64("name", "a", "b")).otherwise(F.pmod("name", F.lit(n)))
+    found = met.withColumn("lane", lane).repartition(n, "lane").groupBy("lane").applyInPandas(compare, "u long, v long")
+    groups = components(found)
+    named = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", "low", F.coalesce("component", "id").alias("c"))
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    return prints.join(named.join(lowest, "c").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.  Five-word shingles.
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id.
 
-    Rows without a doc_id can't be told apart by it and stay; repeated rows of one doc_id become one.
+    Five-word shingles and a similarity of 0.8.  Rows without a doc_id can't be told apart by it and stay; repeated rows of
+    one doc_id become one.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), width=5).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_texts(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -165,6 +165,29 @@ def test_simhash_tiles_of_a_crowded_block(spark):
         assert again == group
 
 
+def test_near_texts_have_the_similarity(spark):
+    rng = random.Random(8)
+    texts, group = [], []
+    for g in range(40):
+        base = rng.choices(WORDS, k=rng.randint(60, 400))
+        for _ in range(rng.randint(1, 4)):
+            words = list(base)
+            for _ in range(len(words) // 100):
+                words[rng.randrange(len(words))] = "edit%d" % rng.randrange(10**6)
+            texts.append(" ".join(words))
+            group.append(g)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df, tile=3).collect()}
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.85:
+                assert got[a] == got[b]
+            if group[a] != group[b]:
+                assert got[a] != got[b]
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark, corpus):
     df = table(spark, corpus)
     out = simhash.stage(df)
