@@ -52,24 +52,30 @@ def tokens_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"-" for n in PARTS if len(word) > n), *(b"-" + word[-n:] for n in PARTS if len(word) > n)]
 
 
-def spread(of_words: Counter) -> Counter:
-    """Counts of words to counts of all their tokens."""
-    out: Counter = Counter()
-    for w, n in of_words.items():
-        for t in tokens_of(w):
-            out[t] += n
-    return out
+#: Toxic texts that must hold a token before it is looked at; fewer can't make it significant.
+SUPPORT = 4
 
 
 def log_odds(toxic: Counter, other: Counter, prior: float = PRIOR) -> dict[bytes, tuple[float, float]]:
-    """Token to (log-odds ratio, z-value)."""
-    n1, n0 = sum(toxic.values()), sum(other.values())
+    """Counts of words to (log-odds ratio, z-value) of their tokens."""
+    held: Counter = Counter()
+    for w, n in toxic.items():
+        for t in tokens_of(w):
+            held[t] += n
+    n1, n0 = sum(held.values()), 0
+    seen = {t: [n, 0] for t, n in held.items() if n >= SUPPORT}
+    del held
+    for w, n in other.items():
+        own = tokens_of(w)
+        n0 += n * len(own)
+        for t in own:
+            if t in seen:
+                seen[t][1] += n
     out = {}
-    for w in toxic:
-        y1, y0 = toxic[w], other.get(w, 0)
+    for t, (y1, y0) in seen.items():
         a = 0.5 + prior * (y1 + y0) / (n1 + n0)
         delta = math.log((y1 + a) / (n1 + prior - y1)) - math.log((y0 + a) / (n0 + prior - y0))
-        out[w] = delta, delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+        out[t] = delta, delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
     return out
 
 
@@ -151,7 +157,7 @@ def train(texts: list[bytes], toxic: list[int]) -> Model:
     seen = {0: Counter(), 1: Counter()}
     for t, y in zip(texts, toxic, strict=True):
         seen[y].update(set(words(t)))  # once a text: words come in bursts
-    odds = log_odds(spread(seen[1]), spread(seen[0]))
+    odds = log_odds(seen[1], seen[0])
     model.gains = {t: min(d, 8.0) for t, (d, z) in odds.items() if d > LEAST and z >= (SIGNIFICANT_PART if t[:1] == b"-" or t[-1:] == b"-" else SIGNIFICANT)}
     # lambda: the expected growth of exp(lambda * score) over harmless tokens is 1
     n0 = max(1, sum(seen[0].values()))
