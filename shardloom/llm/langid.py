@@ -181,14 +181,14 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None:
     return train([bytes(r["text"]) for r in got], [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """The named columns with lang_pred and score added."""
+def predict(docs: DataFrame, model: Model | None, columns: list[str], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns with language and score added, under names that aren't among them."""
     bounded_batches(docs.sparkSession)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*columns, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
     plain = docs.select(*columns, F.when(letters, F.col("text").cast("binary")).alias("_text"))
-    schema = plain.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = plain.drop("_text").withColumns({added[0]: F.lit(""), added[1]: F.lit(0.0)}).schema
     names = np.array([*model.labels, "und"], dtype=object)
 
     def run(batches):
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
             best = p.argmax(axis=1)
             score = np.where(lengths > 0, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             pred = names[np.where(lengths > 0, best, len(model.labels))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], *added])
 
     return plain.mapInArrow(run, schema)
 
@@ -217,5 +217,5 @@ def stage(docs: DataFrame) -> DataFrame:
     """Documents whose language can be told stay."""
     model = fit(docs, crc_fold(F.col("doc_id"), 4) != 2)
     names = docs.columns
-    judged = predict(docs.withColumn("_held", F.lit(0)), model, names)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*names)
+    judged = predict(docs, model, names, ("_judged_lang", "_judged_score"))
+    return judged.where((F.col("_judged_lang") != "und") & (F.col("_judged_score") >= REJECT_BELOW)).select(*names)

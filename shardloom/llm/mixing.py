@@ -90,9 +90,10 @@ def op2_query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, in its own columns."""
-    mixed = mix(docs.select(*docs.columns)).where("repeats > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    """The mix itself: every document as many times as it is taken, its columns unchanged."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    mixed = mix(rows, F.col("size")).where("repeats > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")
 
 
 ORACLE = r"""

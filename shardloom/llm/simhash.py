@@ -145,9 +145,8 @@ def links(prints: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     prints = materialise(fingerprints(docs, width, seed), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.coalesce("low", F.col("fp")))
     # a fingerprint stands for itself in the links; ids come back in when components are known
-    distinct = materialise(distinct.select("fp", "low"), "simhash-distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     found = components(links(distinct.select("fp", F.col("fp").alias("id")), max_bits))
     names = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", F.col("fp")).alias("c"))
     ids = names.groupBy("c").agg(F.min("low").alias("component_id"))

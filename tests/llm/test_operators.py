@@ -82,6 +82,7 @@ def test_mix_takes_near_the_target(spark, corpus):
     assert all(abs(taken[s] - t) <= largest for s, t in target.items())
     assert mixing.op2_query(table(spark, []).limit(0)).count() == 0
     staged = mixing.stage(df)
+    assert staged.where("size <> -1 OR target <> 0.5").count() == 0
     assert staged.columns == df.columns and staged.count() == sum(r["taken"] // r["size"] for r in rows if r["size"]) + staged.where("size(regexp_extract_all(coalesce(text,''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)) = 0").count()
 
 
@@ -316,6 +317,7 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.op1_query(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.stage(df)
     assert kept.columns == df.columns and not {500, 501, 502} & {r["doc_id"] for r in kept.collect()}
+    assert kept.where("score <> 0.1 OR lang_pred <> 'z'").count() == 0 and kept.count() == len(rows) - 3
     assert langid.op1_query(df.limit(0)).count() == 0
 
 
