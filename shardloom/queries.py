@@ -187,11 +187,11 @@ def salted_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.salted(left, right, ["k"])
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 50 AND s_acctbal + 50")
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal + 500")
 def range_join(spark: SparkSession, sf: str) -> DataFrame:
     points = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), "c_acctbal")
-    ranges = _t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    return joins.within(points, ranges, ["k"], "c_acctbal", "low", "high", 100.0).select("c_custkey", "s_suppkey")
+    ranges = _t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_acctbal") - 500).alias("low"), (F.col("s_acctbal") + 500).alias("high"))
+    return joins.within(points, ranges, ["k"], "c_acctbal", "low", "high", 1000.0).select("c_custkey", "s_suppkey")
 
 
 # ---------------------------------------------------------------- time series
