@@ -86,6 +86,8 @@ def _signed(x: int) -> int:
 
 def forest(left: np.ndarray, right: np.ndarray, same: bool, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of a spanning forest of the links between two lists of fingerprints; [n] or [n, words] of 64 bits."""
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
     n = len(left)
     label = np.arange(n if same else n + len(right))
@@ -165,6 +167,8 @@ def op10_query(docs: DataFrame) -> DataFrame:
 WIDE, MISS = 4, 0.04
 #: Fingerprints that may share a key by chance, about.
 CHANCE = 2
+#: Fingerprints of a group all of whose pairs are compared at once, and rows of a lane, about.
+SMALL, LANE_ROWS = 96, 1_000_000
 
 
 def bit_distance(similarity: float) -> float:
@@ -172,9 +176,24 @@ def bit_distance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's different word shingles, sorted."""
+    return np.unique(shingle_hashes(text, width, seed))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; that of two empty sets is 1."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
 def wide_fingerprint(text: bytes | None, width: int = 5, seed: int = 42) -> bytes:
-    """A SimHash of 64 * WIDE bits: the majority over several mixes of each shingle's XXH64."""
-    hashes = shingle_hashes(text, width, seed)
+    """A SimHash of 64 * WIDE bits over a text's different shingles."""
+    return wide_print(shingle_set(text, width, seed))
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """The majority over several mixes of each shingle's XXH64."""
     if not len(hashes):
         return bytes(8 * WIDE)
     out = b""
@@ -199,73 +218,143 @@ def plan_keys(n: int, similarity: float) -> tuple[np.ndarray, int]:
     return np.stack([np.sort(rng.choice(total, bits, replace=False)) for _ in range(keys)]), most
 
 
+PRINT = [f"f{k}" for k in range(WIDE)]
+
+
+def candidates(keyed: DataFrame, n: int, most: int, every: bool) -> DataFrame:
+    """(u, v, name, big): pairs under a key (name) within `most` bits.
+
+    keyed has name, a, b, second, id, label and the fingerprint's words.  Small groups give all their pairs; big ones (big is true)
+    a spanning forest of theirs, or with `every` all pairs of different labels.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["name", "a", "b", "second"], kind="stable")
+        fp = pdf[PRINT].to_numpy(np.int64).view(np.uint64)
+        ids, label, second, name = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["second"].to_numpy(), pdf[["name", "a", "b"]].to_numpy(np.int64)
+        group = np.cumsum(np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1)))) - 1
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.append(start, len(group)))
+        us, vs, names, bigs = [], [], [], []
+
+        def add(u, v, key, big):
+            us.append(u)
+            vs.append(v)
+            names.append(np.broadcast_to(key, len(u)))
+            bigs.append(np.full(len(u), big))
+
+        small = (size <= SMALL) & (name[start, 1] == name[start, 2]) & (not every)
+        mine = small[group]
+        for step in range(1, int(size[small].max(initial=1))):  # small groups: every row with the one so many rows on
+            i = np.flatnonzero(mine[:-step] & (group[step:] == group[:-step]))
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= most]
+            add(ids[i], ids[i + step], 0, False)
+        for x, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
+            same = name[x, 1] == name[x, 2]
+            y = x + m if same else x + int((~second[x : x + m]).sum())
+            right = slice(x, y) if same else slice(y, x + m)
+            if every:
+                for k in range(x, y):
+                    j = right.start + np.flatnonzero((label[right] != label[k]) & (np.bitwise_count(fp[right] ^ fp[k]).sum(axis=1, dtype=np.int64) <= most))
+                    add(np.broadcast_to(ids[k], len(j)), ids[j], name[x, 0], True)
+            else:
+                i, j = forest(fp[x:y], fp[right], same, most)
+                add(ids[x:y][i], ids[right][j], name[x, 0], True)
+        if not us:
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "name": np.zeros(0, np.int64), "big": np.zeros(0, bool)})
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "name": np.concatenate(names), "big": np.concatenate(bigs)}).drop_duplicates()
+
+    # lanes are many enough that none holds more than some rows; tiles of hot keys have lanes of their own
+    lane = F.when(F.col("b") > 0, F.xxhash64("name", "a", "b")).otherwise(F.pmod("name", F.lit(n)))
+    return keyed.withColumn("lane", lane).repartition(n, "lane").groupBy("lane").applyInPandas(compare, "u long, v long, name long, big boolean")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets, by id in sets, have the similarity; both sets are at hand, so the check is exact."""
+
+    def check(batches):
+        for b in batches:
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = pairs.select("u", "v").distinct()
+    held = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    both = pairs.join(held.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(held.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+
+
 def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: int = 512) -> DataFrame:
-    """(doc_id, component_id): texts linked at a similarity of their shingle sets, by wide fingerprints.
+    """(doc_id, component_id): texts linked at a similarity of their shingle sets, found by wide fingerprints.
 
     At such a similarity fingerprints differ in a seventh of their bits, and blocks that are sure to hold no difference would
     be too short to tell texts apart.  Here a block is a sample of bits long enough to be rare, and there are so many of them that a
-    pair right at the similarity shares one but in MISS of all cases (closer pairs practically always).  Candidates are verified
-    by the Hamming distance of the whole fingerprints.
+    pair right at the similarity shares one but in MISS of all cases (closer pairs practically always).  Pairs whose fingerprints
+    are close enough are candidates, and each link is verified by the Jaccard similarity of the two sets before it is used.
+
+    A big group offers a spanning forest of its candidates first; where one of those isn't a link, all its pairs
+    that links haven't joined yet are verified.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    shape = f"doc_id long, id long, {', '.join(f'{c} long' for c in PRINT)}, set binary"
 
     def prints_of(batches):
+        import xxhash
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, width) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            raw = [s.tobytes() for s in sets]
+            ids = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            fp = np.frombuffer(b"".join(map(wide_print, sets)), np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), *(pa.array(fp[:, k].copy()) for k in range(WIDE)), pa.array(raw, pa.binary())], names=["doc_id", "id", *PRINT, "set"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = materialise(plain.mapInArrow(prints_of, "doc_id long, fp binary"), "wide-simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.xxhash64("fp")), "wide-distinct")
-    samples, most = plan_keys(distinct.count(), similarity)
+    prints = materialise(plain.mapInArrow(prints_of, shape), "wide-simhash")
+    # texts with the same set are one: id stands for the set, and the fingerprint follows from it
+    distinct = materialise(prints.groupBy("id").agg(F.min("doc_id").alias("low"), *(F.min(c).alias(c) for c in PRINT)), "wide-distinct")
+    count = distinct.count()
+    samples, most = plan_keys(count, similarity)
     weights = 1 << np.arange(samples.shape[1], dtype=np.int64)
 
     def keys_of(batches):
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            bits = np.unpackbits(raw, axis=1)
-            keys = np.stack([bits[:, s] @ weights for s in samples], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
-
-    keyed = distinct.select("id", "fp").mapInArrow(keys_of, "id long, fp binary, keys array<long>")
-    names = keyed.select("id", "fp", F.posexplode("keys").alias("table", "key")).withColumn("name", F.xxhash64("table", "key"))
-    crowd = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    met = names.select("id", "fp", "name").join(crowd, "name").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+            if not b.num_rows:
+                continue
+            fp = np.stack([b.column(k + 1).to_numpy() for k in range(WIDE)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
+            for at in range(0, len(samples), 32):
+                part = samples[at : at + 32]
+                key = np.stack([bits[:, s] @ weights for s in part], axis=1).view(np.uint64)
+                with np.errstate(over="ignore"):
+                    x = key ^ (np.arange(at + 1, at + len(part) + 1, dtype=np.uint64) << np.uint64(40))
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    x ^= x >> np.uint64(31)
+                again = np.repeat(np.arange(b.num_rows), len(part))
+                columns = [pa.array(x.reshape(-1).view(np.int64)), pa.array(b.column(0).to_numpy()[again]), *(pa.array(fp[again, k]) for k in range(WIDE))]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "id", *PRINT])
+
+    names = distinct.select("id", *PRINT).mapInArrow(keys_of, f"name long, id long, {', '.join(f'{c} long' for c in PRINT)}")
+    crowd = materialise(names.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > tile), "wide-crowd")
+    met = names.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, "name", "left")
+    met = met.withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("name", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("second"), "id", "fp")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["name", "a", "b", "second"], kind="stable")
-        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(-1, WIDE)
-        ids, second, name = pdf["id"].to_numpy(), pdf["second"].to_numpy(), pdf[["name", "a", "b"]].to_numpy(np.int64)
-        group = np.cumsum(np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1)))) - 1
-        start = np.flatnonzero(np.diff(group, prepend=-1))
-        size = np.diff(np.append(start, len(group)))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        small = (size <= 24) & (name[start, 1] == name[start, 2])
-        mine = small[group]
-        for step in range(1, 24):  # small groups: every row with the one so many rows on
-            i = np.flatnonzero(mine[:-step] & (group[step:] == group[:-step])) if step < len(group) else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= most]
-            us.append(ids[i])
-            vs.append(ids[i + step])
-        for x, m in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
-            y = x + m if name[x, 1] == name[x, 2] else x + int((~second[x : x + m]).sum())
-            i, j = forest(fp[x:y], fp[x:y], True, most) if y == x + m else forest(fp[x:y], fp[y : x + m], False, most)
-            us.append(ids[x:y][i])
-            vs.append((ids[x:y] if y == x + m else ids[y : x + m])[j])
-        out = pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-        return out.drop_duplicates()
-
-    n = 4 * parts(spark)
-    lane = F.when(F.col("b") > 0, F.xxhash64("name", "a", "b")).otherwise(F.pmod("name", F.lit(n)))
-    found = met.withColumn("lane", lane).repartition(n, "lane").groupBy("lane").applyInPandas(compare, "u long, v long")
-    groups = components(found)
-    named = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", "low", F.coalesce("component", "id").alias("c"))
+    met = met.select("name", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("second"), "id", *PRINT)
+
+    n = max(4 * parts(spark), count * len(samples) // LANE_ROWS)
+    sets = prints.select("id", "set")
+    found = materialise(candidates(met.withColumn("label", F.col("id")), n, most, False), "wide-candidates")
+    good = materialise(verified(found, sets, similarity), "wide-links")
+    failed = materialise(found.where("big").join(good, ["u", "v"], "left_anti").select("name").distinct(), "wide-failed")
+    if failed.limit(1).count():
+        again = met.join(failed, "name", "left_semi").join(components(good).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        more = materialise(candidates(again, n, most, True).select("u", "v").distinct(), "wide-candidates")
+        good = good.union(verified(more, sets, similarity))
+    groups = components(good)
+    named = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("component", "id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    return prints.join(named.join(lowest, "c").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return prints.select("doc_id", "id").join(named.join(lowest, "c").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -189,6 +189,48 @@ def test_near_texts_have_the_similarity(spark):
                 assert got[a] != got[b]
 
 
+def test_links_are_verified(spark):
+    """A line repeated in two texts of their own brings fingerprints over all shingles close, and pairs at 0.65 are within the cut."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(20):
+        line = rng.choices(WORDS, k=14)
+        rows += [(g * 10 + k, " ".join(rng.choices(WORDS, k=150) + line * 30)) for k in range(2)]
+        base = rng.choices(WORDS, k=400)
+        rows += [(g * 10 + 5, " ".join(base)), (g * 10 + 6, " ".join(base[:322] + rng.choices(WORDS, k=78)))]
+    for tile in (1, 512):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+        assert got == {d: d for d, _ in rows}
+
+
+def test_a_failed_edge_hides_no_link(spark, monkeypatch):
+    """Big groups whose forest has edges that aren't links: the components are those of all pairs at the similarity."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = rng.choices(WORDS, k=300)
+        for _ in range(30):
+            words = list(base)
+            cut = rng.choice((15, 30, 45))
+            at = rng.randrange(300 - cut)
+            words[at : at + cut] = ["edit%d" % rng.randrange(10**6) for _ in range(cut)]
+            texts.append(" ".join(words))
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    group = slow_groups(sets, lambda a, b: simhash.similar(a, b) >= 0.8)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "plan_keys", lambda n, similarity: (np.array([[0]]), 256))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(list(enumerate(t for t in texts)), "doc_id long, text string")).collect()}
+    pairs = {(a, b) for b in range(90) for a in range(b) if simhash.similar(sets[a], sets[b]) >= 0.8}
+    reach = {(a, b) for a, b in pairs if (wide_bits(texts[a]) ^ wide_bits(texts[b])) & (1 << 7) == 0}
+    linked = slow_groups(list(range(90)), lambda a, b: (b, a) in reach)
+    assert len(set(linked)) < 90 and len(set(group)) > 3
+    assert all((got[a] == got[b]) == (linked[a] == linked[b]) for b in range(90) for a in range(b))
+
+
+def wide_bits(text):
+    return int.from_bytes(simhash.wide_fingerprint(text.encode()), "little")
+
+
 def test_simhash_stage_keeps_one_of_each_group(spark, corpus):
     df = table(spark, corpus)
     out = simhash.stage(df)
