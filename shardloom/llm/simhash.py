@@ -164,9 +164,9 @@ def op10_query(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- texts of a similarity
 
 #: Words of 64 bits that a wide fingerprint has, and the share of pairs right at the similarity that may be missed.
-WIDE, MISS = 4, 0.04
+WIDE, MISS = 4, 0.01
 #: Fingerprints that may share a key by chance, about.
-CHANCE = 2
+CHANCE = 32
 #: Fingerprints of a group all of whose pairs are compared at once, and rows of a lane, about.
 SMALL, LANE_ROWS = 96, 1_000_000
 
@@ -207,15 +207,39 @@ def wide_print(hashes: np.ndarray) -> bytes:
     return out
 
 
+def missed(similarity: float, bits: int, keys: int, most: int) -> float:
+    """The share of pairs right at a similarity that `keys` samples of `bits` bits and a cut at `most` miss.
+
+    The number of bits by which a pair differs is binomial, and the miss is summed over it, the part beyond the cut included.
+    Sets of one size are assumed; with other sizes fingerprints are closer.
+    """
+    far, total = bit_distance(similarity), 64 * WIDE
+    weight = (1 - far) ** total
+    out = 0.0
+    for d in range(total + 1):
+        keep = math.comb(total - d, bits) / math.comb(total, bits)
+        out += weight * ((1 - keep) ** keys if d <= most else 1)
+        weight *= (total - d) / (d + 1) * far / (1 - far)
+    return out
+
+
 def plan_keys(n: int, similarity: float) -> tuple[np.ndarray, int]:
-    """Bits that each key samples, [keys, bits], for n fingerprints, and the bits by which a pair may differ."""
+    """Bits that each key samples, [keys, bits], for n fingerprints, and the bits by which a candidate pair may differ.
+
+    The cut is at six sigma, since links are verified; keys are as many as keep the miss under MISS at every n.
+    """
     far = bit_distance(similarity)
     total = 64 * WIDE
-    most = round(total * far + 2 * math.sqrt(total * far * (1 - far)))
-    bits = max(14, math.ceil(math.log2(max(2.0, n / CHANCE))))
-    keys = math.ceil(math.log(MISS) / math.log(1 - (1 - far) ** bits))
+    most = round(total * far + 6 * math.sqrt(total * far * (1 - far)))
+    bits = max(10, math.ceil(math.log2(max(2.0, n / CHANCE))))
+    low, high = 0, 1
+    while missed(similarity, bits, high, most) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        half = (low + high) // 2
+        low, high = (half, high) if missed(similarity, bits, half, most) > MISS else (low, half)
     rng = np.random.default_rng(41)
-    return np.stack([np.sort(rng.choice(total, bits, replace=False)) for _ in range(keys)]), most
+    return np.stack([np.sort(rng.choice(total, bits, replace=False)) for _ in range(high)]), most
 
 
 PRINT = [f"f{k}" for k in range(WIDE)]

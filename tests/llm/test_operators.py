@@ -189,6 +189,29 @@ def test_near_texts_have_the_similarity(spark):
                 assert got[a] != got[b]
 
 
+def edited_pair(rng, similarity, n=400):
+    """Two texts of which a run of words differs, so that their sets have about the similarity, or a little more."""
+    cut = int(n * (1 - similarity) / (1 + similarity)) - 4
+    base = [rng.choice(WORDS) + str(rng.randrange(10**4)) for _ in range(n)]
+    at = rng.randrange(5, n - cut - 5)
+    return base, base[:at] + ["edit%d" % rng.randrange(10**9) for _ in range(cut)] + base[at + cut :]
+
+
+@pytest.mark.parametrize("n", [50_000, 2_500_000, 15_000_000])
+def test_keys_find_pairs_at_the_similarity(n):
+    rng = random.Random(n)
+    samples, most = simhash.plan_keys(n, 0.8)
+    assert simhash.missed(0.8, samples.shape[1], len(samples), most) <= simhash.MISS
+    for similarity in (0.8, 0.85):
+        hits = 0
+        for _ in range(400):
+            a, b = ([np.unpackbits(np.frombuffer(simhash.wide_fingerprint(" ".join(w).encode()), np.uint8)) for w in edited_pair(rng, similarity)])
+            differ = a != b
+            hits += differ.sum() <= most and not differ[samples].any(axis=1).all()
+        print(n, similarity, samples.shape[::-1], most, hits / 400)
+        assert hits / 400 >= 0.97
+
+
 def test_links_are_verified(spark):
     """A line repeated in two texts of their own brings fingerprints over all shingles close, and pairs at 0.65 are within the cut."""
     rng = random.Random(12)
