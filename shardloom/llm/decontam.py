@@ -4,7 +4,9 @@ Test items give seeds: runs of `GRAM` words whose words are rare together, by wo
 all documents (an item without enough of them gives its rarest runs).  Seeds are looked up in every whole text; hits
 of one item that lie close together make one passage, and the passage is aligned with the item by
 Smith-Waterman over words, which scores paraphrased or edited copies too.  A document is contaminated by an item when
-its best alignment reaches `THRESHOLD` of the score of a perfect copy.
+its best alignment reaches `THRESHOLD` of the score of a perfect copy, or when a second, strict alignment, in which every
+edit costs `STRICT` words, is worth `PASSAGE` words or more: a passage of an item, however long the item is.  Every
+`PASSAGE` words of an item in a row hold a seed, so no such verbatim passage is passed over.
 
 Test items are taken in blocks of `BLOCK_SEEDS` seeds, one scan of the documents a block, so what is sent to the tasks
 is bounded however many items there are.
@@ -31,6 +33,8 @@ RARE_BITS, LEAST_SEEDS = 26.0, 6
 BLOCK_SEEDS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: Matching words that a passage of an item is worth at least, and what an edit within it costs in words.
+PASSAGE, STRICT = 13, 3
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SCHEMA = "doc_id long, item_id long, score double, first_word int, last_word int"
 
@@ -39,7 +43,7 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def align(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+def align(item: np.ndarray, passages: list[np.ndarray], match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> np.ndarray:
     """Best local alignment score of an item with each passage (arrays of word numbers)."""
     if not passages:
         return np.zeros(0, np.int32)
@@ -49,11 +53,11 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
         grid[k, : len(p)] = p
     best = np.zeros(len(passages), np.int32)
     row = np.zeros((len(passages), width + 1), np.int32)
-    # a row's dependence on itself, max over k of (value[j-k] + k * GAP), is a running maximum once the gap cost is added back
-    slope = (-GAP * np.arange(width + 1, dtype=np.int32))[None, :]
+    # a row's dependence on itself, max over k of (value[j-k] + k * gap), is a running maximum once the gap cost is added back
+    slope = (-gap * np.arange(width + 1, dtype=np.int32))[None, :]
     for w in item:
         new = np.zeros_like(row)
-        new[:, 1:] = np.maximum(row[:, :-1] + np.where(grid == w, MATCH, MISMATCH), row[:, 1:] + GAP)
+        new[:, 1:] = np.maximum(row[:, :-1] + np.where(grid == w, match, mismatch), row[:, 1:] + gap)
         np.maximum(new, 0, out=new)
         new = np.maximum.accumulate(new + slope, axis=1) - slope
         np.maximum(best, new.max(axis=1), out=best)
@@ -78,6 +82,10 @@ class Seeds:
             runs = [(sum(bits[w] for w in own[p : p + gram]), p) for p in range(len(own) - gram + 1)]
             order = sorted(runs, key=lambda r: (-r[0], r[1]))
             rare = {p for n, (b, p) in enumerate(order) if b >= RARE_BITS or n < LEAST_SEEDS}
+            inside = PASSAGE - gram + 1
+            for p in range(len(runs) - inside + 1):  # the rarest run of every PASSAGE words that hold no seed yet
+                if not any(q in rare for q in range(p, p + inside)):
+                    rare.add(max(runs[p : p + inside], key=lambda r: (r[0], r[1]))[1])
             for p in sorted(rare):
                 keys.append(self.key(self.items[k], p, gram))
                 which.append(k)
@@ -131,9 +139,14 @@ class Seeds:
             start = np.sort((place - inner)[item == k])
             cut = np.flatnonzero(np.diff(start) > slack) + 1
             spans = [(max(0, int(g[0]) - slack), int(g[-1]) + size + slack) for g in np.split(start, cut)]
-            scores = align(self.items[k], [numbers[a:b] for a, b in spans]) / (MATCH * size)
-            best = int(scores.argmax())
-            if scores[best] >= THRESHOLD:
+            passages = [numbers[a:b] for a, b in spans]
+            scores = align(self.items[k], passages) / (MATCH * size)
+            enough = scores >= THRESHOLD
+            # a strict score of PASSAGE needs a loose one of MATCH * PASSAGE
+            left = np.flatnonzero(~enough & (scores * size >= PASSAGE - 0.5))
+            enough[left] = align(self.items[k], [passages[j] for j in left.tolist()], 1, -STRICT, -STRICT) >= PASSAGE
+            best = int(np.where(enough, scores, -1.0).argmax())
+            if enough[best]:
                 out.append((k, float(scores[best]), spans[best][0], min(len(own), spans[best][1]) - 1))
         return out
 

@@ -427,6 +427,26 @@ def test_decontamination(spark, monkeypatch):
     assert decontam.op5_query(docs, bench.limit(0)).count() == 0 and decontam.op5_query(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_partial_passages(spark):
+    """Verbatim and slightly edited parts of long items count, whatever share of the item they are; scattered words don't."""
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs" for d in ("t", "k", "nd")]
+    make = lambda n: rng.choices(words, k=n)
+    common = ["the", "of", "and", "to"]
+    items = [make(59), make(250), make(120), rng.choices(common, k=60) + make(40)]
+    edited = items[2][40:75]
+    edited[10] = "other"
+    del edited[25]
+    scattered = [w for k in range(0, 120, 8) for w in (*items[2][k : k + 4], *make(6))]
+    rows = [(1, make(80) + items[0][10:39] + make(80)), (2, make(50) + items[1][100:200] + make(9)), (3, items[1][3:16] + make(40)), (4, make(30) + edited + make(30)), (5, make(30) + scattered), (6, items[1][3:15] + make(60))]
+    rows += [(7, make(30) + items[3][20:40] + make(30))] + [(100 + k, [w for x in make(60) for w in (x, rng.choice(common))]) for k in range(50)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.op5_query(docs, bench).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 1), (4, 2), (7, 3)} and max(got.values()) < 0.5
+    assert {r["doc_id"] for r in decontam.stage(docs, bench).collect()} == {5, 6} | {100 + k for k in range(50)}
+
+
 # ---------------------------------------------------------------- registered queries
 
 
