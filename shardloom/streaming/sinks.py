@@ -32,8 +32,7 @@ def deliver(stream: DataFrame, checkpoint: str, to: Callable[[DataFrame, int], N
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that a bounded stream gives, as a table in memory; for tests and small results."""
+    """All that a bounded stream gives, as a table in memory, once the stream has ended; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(600)
-    query.stop()
+    query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -58,3 +58,25 @@ def test_deduplication_and_windows_on_tables(spark):
     assert bars.once(df, ["symbol", "n"]).count() == 2
     assert bars.sliding(df, "1 hour", "30 minutes", "price", ["symbol"]).count() == 3
     assert bars.live_sessions(df, "10 minutes", ["symbol"]).count() == 2
+
+
+def test_run_to_memory_waits_for_the_end():
+    class Slow:
+        """A stream that takes longer than any limit; its table is whole once it was waited for without one."""
+
+        done = False
+        writeStream = sparkSession = property(lambda self: self)
+        format = queryName = outputMode = trigger = lambda self, *_, **__: self
+        start = lambda self: self
+
+        def awaitTermination(self, timeout=None):
+            self.done = timeout is None
+            return self.done
+
+        def stop(self):
+            pass
+
+        def table(self, name):
+            return "whole" if self.done else "part"
+
+    assert sinks.run_to_memory(Slow(), "slow", "append") == "whole"
