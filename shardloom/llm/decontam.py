@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, row_key
 
 GRAM = 3
 #: Bits of surprise that make a run of words rare, and seeds an item has at least where it has runs.
@@ -36,7 +36,6 @@ THRESHOLD = 0.5
 #: Matching words that a passage of an item is worth at least, and what an edit within it costs in words.
 PASSAGE, STRICT = 13, 3
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-SCHEMA = "doc_id long, item_id long, score double, first_word int, last_word int"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -172,9 +171,15 @@ def word_bits(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word), one row for each document and item that match."""
-    spark = docs.sparkSession
+    return matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), items)
+
+
+def matched(plain: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for plain, which has text in binary beside doc_id, a name of its rows, long or string."""
+    spark = plain.sparkSession
     bounded_batches(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long, score double, first_word int, last_word int"
     found = None
     block: list[tuple[int, list[bytes]]] = []
     size = 0
@@ -183,14 +188,16 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         bits = word_bits(plain, {w for _, own in block for w in own})
         seeds = Seeds(block, bits)
 
+        named = pa.string() if kind == "string" else pa.int64()
+
         def run(batches):
-            shape = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+            shape = pa.schema([("doc_id", named), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
             for b in batches:
                 rows = [(d, seeds.ids[k], s, x, y) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, s, x, y in seeds.matches(t)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
-        return plain.mapInArrow(run, SCHEMA)
+        return plain.mapInArrow(run, schema)
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     for r in rows.distinct().toLocalIterator():
@@ -206,7 +213,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = scan(block)
         found = part if found is None else found.union(part)
     if found is None:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], schema)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
 
@@ -216,6 +223,7 @@ def op5_query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that hold no passage of a test item stay."""
-    bad = contaminated(docs, items).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no passage of a test item stay; each row goes or stays by its own doc_id and text, null ids too."""
+    named = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
+    bad = matched(named.select(F.col("_row_key").alias("doc_id"), F.col("text").cast("binary").alias("text")), items).select(F.col("doc_id").alias("_row_key")).distinct()
+    return named.join(bad, "_row_key", "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialise, parts
+from ._common import bounded_batches, materialise, parts, row_key
 from ._components import components
 
 #: Rows of a tile: different fingerprints under one key that are compared in one go.
@@ -309,7 +309,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: int = 512) -> DataFrame:
-    """(doc_id, component_id): texts linked at a similarity of their shingle sets, found by wide fingerprints.
+    """(doc_id, component_id, row, component): texts linked at a similarity of their shingle sets, found by wide fingerprints.
 
     At such a similarity fingerprints differ in a seventh of their bits, and blocks that are sure to hold no difference would
     be too short to tell texts apart.  Here a block is a sample of bits long enough to be rare, and there are so many of them that a
@@ -317,23 +317,24 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: i
     are close enough are candidates, and each link is verified by the Jaccard similarity of the two sets before it is used.
 
     A big group offers a spanning forest of its candidates first; where one of those isn't a link, all its pairs
-    that links haven't joined yet are verified.
+    that links haven't joined yet are verified.  component_id is the smallest doc_id of a group (null if there is none); row is the
+    name of a row by doc_id and text, and component that of a group, which groups without an id have too.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shape = f"doc_id long, id long, {', '.join(f'{c} long' for c in PRINT)}, set binary"
+    shape = f"doc_id long, row string, id long, {', '.join(f'{c} long' for c in PRINT)}, set binary"
 
     def prints_of(batches):
         import xxhash
 
         for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t, width) for t in b.column(2).to_pylist()]
             raw = [s.tobytes() for s in sets]
             ids = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
             fp = np.frombuffer(b"".join(map(wide_print, sets)), np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), *(pa.array(fp[:, k].copy()) for k in range(WIDE)), pa.array(raw, pa.binary())], names=["doc_id", "id", *PRINT, "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), *(pa.array(fp[:, k].copy()) for k in range(WIDE)), pa.array(raw, pa.binary())], names=["doc_id", "row", "id", *PRINT, "set"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text"))
     prints = materialise(plain.mapInArrow(prints_of, shape), "wide-simhash")
     # texts with the same set are one: id stands for the set, and the fingerprint follows from it
     distinct = materialise(prints.groupBy("id").agg(F.min("doc_id").alias("low"), *(F.min(c).alias(c) for c in PRINT)), "wide-distinct")
@@ -378,15 +379,17 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: i
     groups = components(good)
     named = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("component", "id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "id").join(named.join(lowest, "c").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return prints.select("doc_id", "row", "id").join(named.join(lowest, "c").select("id", "component_id", F.col("c").alias("component")), "id").select("doc_id", "component_id", "row", "component")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id.
 
-    Five-word shingles and a similarity of 0.8.  Rows without a doc_id can't be told apart by it and stay; repeated rows of
-    one doc_id become one.
+    Five-word shingles and a similarity of 0.8.  Rows are told apart by doc_id and text: repeated rows become one, and different texts
+    under one doc_id each stay or go by themselves.  Rows without a doc_id are grouped among themselves, so that one of each group
+    of them stays, whatever rows with a doc_id are like it.
     """
-    kept = near_texts(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    groups = near_texts(docs).withColumn("unnamed", F.col("doc_id").isNull())
+    kept = groups.groupBy("component", "unnamed").agg(F.min_by("row", F.struct("doc_id", "row")).alias("_row_key")).select("_row_key")
+    named = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
+    return named.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)

@@ -262,6 +262,17 @@ def test_simhash_stage_keeps_one_of_each_group(spark, corpus):
     assert ids.count(None) == 2 and 1000 in ids and not {1001, 1002, 1003} & set(ids)
 
 
+def test_stages_tell_rows_apart_by_their_text(spark):
+    rng = random.Random(31)
+    a, b, item = prose(rng, 200), prose(rng, 200), prose(rng, 40)
+    rows = [(1, a), (1, b), (2, b), (None, a), (None, a), (None, item + " x"), (3, prose(rng, 50) + " " + item), (3, prose(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in simhash.stage(docs).collect()]
+    assert sorted(out, key=str) == sorted({*rows} - {(2, b)}, key=str)
+    kept = [tuple(r) for r in decontam.stage(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[:5], rows[7]], key=str)
+
+
 # ---------------------------------------------------------------- suffixes
 
 
