@@ -146,21 +146,22 @@ class Index:
 
 # ---------------------------------------------------------------- the operator
 
-LINES = "row string, id long, line int, h1 long, h2 long"
+LINES = "row string, id long, line int, h1 long, h2 long, first boolean"
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every line that counts: its row, doc_id, number and 128-bit hash."""
+    """Every line that counts: its row, doc_id, number, 128-bit hash, and whether it is the first such line of its document."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            rows, ids, numbers, hashes = [], [], [], []
+            rows, ids, numbers, hashes, firsts = [], [], [], [], []
             for row, d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if not text or len(text) < min_chars:
                     continue
+                seen = set()
                 for k, line in enumerate(text.split(b"\n")):
                     if len(line) >= min_chars:
                         key = key_of(line)
@@ -169,8 +170,10 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                             ids.append(NO_ID if d is None else d)
                             numbers.append(k)
                             hashes.append(xxhash.xxh3_128_digest(key))
+                            firsts.append(hashes[-1] not in seen)
+                            seen.add(hashes[-1])
             pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["row", "id", "line", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(firsts, pa.bool_())], names=["row", "id", "line", "h1", "h2", "first"])
 
     return docs.select("row", "doc_id", F.col("text").cast("binary")).mapInArrow(run, LINES)
 
@@ -179,8 +182,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """(row, line): what goes. docs needs row (a row's own name), doc_id (long) and text."""
     spark = docs.sparkSession
     lines = materialise(line_hashes(docs, min_chars), "lines")
-    # once a document: copies of a line within one don't count
-    once = lines.select("row", "id", "h1", "h2").distinct()
+    # once a document: copies of a line within one don't count, copies of a document do
+    once = lines.where("first")
     counted = materialise(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")), "line-counts")
     size = counted.agg(F.count("*").alias("keys"), F.sum("n").alias("probes")).first()
     if not size["keys"]:

@@ -121,6 +121,13 @@ def test_a_line_that_most_documents_hold(spark):
     assert got == {d: int(d != 899) for d in range(900)}
 
 
+def test_repeated_rows_count_each(spark):
+    line, other, four = "a line of forty characters or more, number one", "another line of forty characters or more, two", "a line that only four rows hold, forty or more"
+    rows = [(None, line + "\n" + line, "a")] * 5 + [(7, other, "a")] * 4 + [(6, other, "a")] + [(None, four + "\n" + four, "a")] * 4
+    got = sorted((tuple(r) for r in line_dedup.op3_query(table(spark, rows)).collect()), key=str)
+    assert got == slow_lines(rows) and sum(r[2] for r in got) == 11
+
+
 # ---------------------------------------------------------------- SimHash
 
 
