@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,14 @@ def replay(ticks: DataFrame, n: int, arrival: str, topic: str = "topic", only: s
     return last_n(rows, [topic], [arrival], n)
 
 
+def last_rows(old: Iterable[tuple], chunks: Iterable[Iterable[tuple]], n: int) -> list[tuple]:
+    """The n different rows (arrival, value) that arrived last, oldest first; no more than n and a chunk are held."""
+    kept: list[tuple] = []
+    for chunk in chain([old], chunks):
+        kept = sorted({*kept, *((int(a), None if v is None else float(v)) for a, v in chunk)}, key=lambda r: r[0])[-n:]
+    return kept
+
+
 def live_replay(ticks: DataFrame, n: int, arrival: str = "event_id", value: str = "value", topic: str = "topic") -> DataFrame:
     """On a stream of (topic, arrival long, value double): with every batch, the last n rows of the topics that had some.
 
@@ -30,8 +39,7 @@ def live_replay(ticks: DataFrame, n: int, arrival: str = "event_id", value: str
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             old = list(self.rows.get()) if self.rows.exists() else []
-            new = [(int(a), None if v is None else float(v)) for pdf in rows for a, v in zip(pdf[arrival], pdf[value], strict=True)]
-            kept = sorted({(int(a), None if v is None else float(v)) for a, v in [*old, *new]}, key=lambda r: r[0])[-n:]
+            kept = last_rows(old, (zip(pdf[arrival], pdf[value], strict=True) for pdf in rows), n)
             self.rows.put(kept)
             yield pd.DataFrame({"topic": [key[0]] * len(kept), "arrival": [a for a, _ in kept], "value": [v for _, v in kept], "seq": range(1, len(kept) + 1)})
 

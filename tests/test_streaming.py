@@ -80,3 +80,14 @@ def test_run_to_memory_waits_for_the_end():
             return "whole" if self.done else "part"
 
     assert sinks.run_to_memory(Slow(), "slow", "append") == "whole"
+
+
+def test_replay_holds_no_more_than_its_rows_and_a_chunk():
+    import tracemalloc
+
+    chunks = ([(k * 1000 + i, float(i)) for i in range(1000)] for k in range(200))
+    tracemalloc.start()
+    assert replay.last_rows([(-1, 0.0)], chunks, 5) == [(199_995 + i, 995.0 + i) for i in range(5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000 and replay.last_rows([(3, None)], [[(1, 2.0), (3, None)]], 5) == [(1, 2.0), (3, None)]
