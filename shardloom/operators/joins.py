@@ -46,7 +46,15 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join with a few very frequent keys on the left: left rows are dealt over salts, right rows are copied to each."""
+    """An equi-join with a few very frequent keys on the left: left rows are dealt over salts, right rows are copied to each.
+
+    Copies of a right row without a partner would each come out, so right and full joins add the right rows that no left
+    key meets in a join of their own.
+    """
+    if how in ("right", "right_outer", "rightouter", "full", "outer", "full_outer", "fullouter"):
+        met = salted(left, right, keys, salts, "inner" if how.startswith("right") else "left")
+        lonely = right.join(left.select(*keys).distinct(), list(keys), "left_anti")
+        return met.unionByName(lonely, allowMissingColumns=True).select(*met.columns)
     dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
