@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -36,8 +37,53 @@ def skew_statistics(df: DataFrame, key: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, *fractions: float) -> DataFrame:
-    """Exact percentiles: the smallest value that at least that share of all values doesn't exceed."""
-    return df.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{int(p * 100)}") for p in fractions))
+    """Exact percentiles, one row: the smallest value that at least that share of all values doesn't exceed; NULLs don't count.
+
+    Each is closed in between two approximate quantiles, which a sketch of bounded size gives, and the values between them are looked at
+    again until they are few different ones; no task ever holds all values.
+    """
+    spark, kind = df.sparkSession, df.schema[value].dataType.simpleString()
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    total = values.count()
+    found = [_nth(values, max(1, math.ceil(round(p * total, 9)))) if total else None for p in fractions]
+    return spark.createDataFrame([tuple(found)], ", ".join(f"p{int(p * 100)} {kind}" for p in fractions))
+
+
+def approximate_percentiles(df: DataFrame, value: str, *fractions: float, accuracy: int = 10_000) -> DataFrame:
+    """Percentiles from a sketch in one pass; a rank is wrong by at most one part in `accuracy` of all rows."""
+    return df.agg(*(F.percentile_approx(value, p, accuracy).alias(f"p{int(p * 100)}") for p in fractions))
+
+
+#: Rows among which a percentile is looked up directly.
+FEW = 50_000
+
+
+def _nth(values: DataFrame, n: int):
+    """The n-th smallest of the values (column v, no NULLs)."""
+    skipped = 0
+    while True:
+        here = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+        if here["low"] == here["high"]:
+            return here["low"]
+        if here["n"] <= FEW:
+            counts = values.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect()
+            for r in counts:
+                skipped += r["c"]
+                if skipped >= n:
+                    return r["v"]
+        share = (n - skipped) / here["n"]
+        low, high = values.agg(F.percentile_approx("v", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 5_000).alias("q")).first()["q"]
+        below = values.agg(F.count_if(F.col("v") < low).alias("a"), F.count_if(F.col("v") <= high).alias("b")).first()
+        if not below["a"] < n - skipped <= below["b"]:  # the sketch may be off by its error
+            low, high = (here["low"], low) if n - skipped <= below["a"] else (high, here["high"])
+            below = values.agg(F.count_if(F.col("v") < low).alias("a")).first()
+        elif low == here["low"] and high == here["high"]:  # a few values hold nearly all rows
+            at = values.agg(F.count_if(F.col("v") == low).alias("c")).first()["c"]
+            if n - skipped <= at:
+                return low
+            values, skipped = values.where(F.col("v") > F.lit(low)), skipped + at
+            continue
+        values, skipped = values.where(F.col("v").between(low, high)), skipped + below["a"]
 
 
 def panel_statistics(panels: DataFrame) -> DataFrame:
