@@ -42,4 +42,4 @@ class TableRegistry:
 def is_system(name: str) -> bool:
     """Whether a name belongs to the catalog's own relations."""
     bare = name.strip('"`').lower()
-    return bare.startswith("information_schema") or bare.rpartition(".")[2].startswith("pg_") or bare.startswith("pg_catalog")
+    return bare.startswith(("information_schema", "_catalog_")) or bare.rpartition(".")[2].startswith("pg_") or bare.startswith("pg_catalog")
