@@ -54,6 +54,17 @@ class Ring:
                 return probe
         return min((s.id for s in self.shards if s.id not in excluded), default=None)
 
+    def failover_column(self, key: Column, excluded: Collection[int] = ()) -> Column:
+        """`failover` as an expression; only keys whose own shard is excluded are probed."""
+        first = self.column(key)
+        if not excluded:
+            return first
+        gone = sorted(excluded)
+        salts = F.sequence(F.lit(1), F.lit(max(s.virtual_nodes for s in self.shards)))
+        probes = F.transform(salts, lambda n: self.column(F.concat(key.cast("string"), F.lit("#"), n.cast("string"))))
+        last = F.lit(min((s.id for s in self.shards if s.id not in excluded), default=None)).cast("int")
+        return F.when(first.isin(gone), F.coalesce(F.get(F.filter(probes, lambda o: ~o.isin(gone)), 0), last)).otherwise(first)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """The ring as rows (token, shard); its size is the number of virtual nodes."""
         return spark.createDataFrame(list(zip(self.tokens, self.owners, strict=True)), "token string, shard int")
