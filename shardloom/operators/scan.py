@@ -51,6 +51,12 @@ def write_sharded(df: DataFrame, path: str, ring: Ring, key: str, timestamp: str
     dealt.sortWithinPartitions(SHARD_COLUMN, DAY_COLUMN, key, timestamp).write.partitionBy(SHARD_COLUMN, DAY_COLUMN).mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Write a table in buckets of a key, each in the key's order; tables with the same buckets join on it without an exchange."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_sharded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

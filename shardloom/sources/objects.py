@@ -67,3 +67,23 @@ def list_objects(spark: SparkSession, path: str, bucket: str) -> DataFrame:
     """Files under a path as (bucket, key, etag); the etag is made of length and time of change."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.lit(bucket).alias("bucket"), F.col("path").alias("key"), F.md5(F.concat_ws("-", "length", "modificationTime").cast("binary")).alias("etag"))
+
+
+def put_objects(files: DataFrame, root: str) -> None:
+    """Rows (path, content) to files of their own below a folder, written by the executors and then given their names.
+
+    Behind the content stands a line's end, which readers of framed formats don't see.
+    """
+    spark = files.sparkSession
+    staged = f"{root.rstrip('/')}-staged"
+    files.select("content", F.md5(F.col("path").cast("binary")).alias("_name")).select(F.col("content").cast("string"), "_name").write.partitionBy("_name").text(staged)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda text: jvm.org.apache.hadoop.fs.Path(text)
+    store = place(root).getFileSystem(conf)
+    for r in files.select("path", F.md5(F.col("path").cast("binary")).alias("name")).toLocalIterator():
+        target = place(f"{root}/{r['path']}")
+        store.mkdirs(target.getParent())
+        for found in store.listStatus(place(f"{staged}/_name={r['name']}")):
+            if found.getPath().getName().startswith("part-"):
+                store.rename(found.getPath(), target)
+    store.delete(place(staged), True)

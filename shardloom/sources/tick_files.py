@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import io
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
+from .line_protocol import render
 
 TRADES, QUOTES = "trades", "quotes"
 DEFAULT_PRECISION = 8
@@ -48,13 +50,14 @@ def split_instrument(name: str) -> tuple[str, str]:
     return (symbol, venue) if dot else (name, "UNKNOWN")
 
 
-def _fixed(column: pa.ChunkedArray, precision: int) -> list[float | None]:
-    out = []
-    for raw in column.to_pylist():
-        if raw is not None and len(raw) != 8:
-            raise ParseError(f"a fixed-point number has 8 bytes, not {len(raw)}")
-        out.append(None if raw is None else struct.unpack("<q", raw)[0] / 10**precision)
-    return out
+def _fixed(column: pa.ChunkedArray, precision: int) -> pa.Array:
+    """Fixed-point numbers of 8 bytes, little-endian, as doubles."""
+    flat = column.combine_chunks()
+    widths = pc.unique(pc.binary_length(flat)).drop_null().to_pylist()
+    if widths not in ([], [8]):
+        raise ParseError(f"a fixed-point number has 8 bytes, not {next(w for w in widths if w != 8)}")
+    whole = np.frombuffer(b"".join(pc.fill_null(flat.cast(pa.binary()), bytes(8)).to_pylist()), "<i8")
+    return pa.array(whole / 10**precision, mask=flat.is_null().to_numpy(zero_copy_only=False))
 
 
 def decode_file(path: str, content: bytes, kind: str) -> pa.Table:
@@ -94,9 +97,32 @@ def decode(files: DataFrame, kind: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, kind: str, prefix: str = "") -> DataFrame:
-    """All tick files of a kind under a path; `spark` reads local folders and object stores alike."""
+    """All tick files of a kind under a path whose keys, that is their paths below it, begin with the prefix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return decode(files.where(should_ingest(F.col("path")) & F.col("path").contains(prefix)), kind)
+    root = path.split(":", 1)[-1].strip("/")
+    key = F.substring(F.col("path"), F.instr("path", root) + len(root) + 1, F.length("path"))
+    return decode(files.where(should_ingest(key, prefix)), kind)
+
+
+def to_lines(ticks: DataFrame, kind: str) -> DataFrame:
+    """Decoded ticks as lines of the table of their kind: instrument and side as tags, the instant in nanoseconds."""
+    fields = ["price", "size", "trade_id"] if kind == TRADES else ["bid", "ask", "bid_size", "ask_size"]
+    tags = ["symbol", "venue", *(["aggressor_side"] if kind == TRADES else [])]
+    return render(ticks, kind, tags, fields, nanoseconds="ts_event")
+
+
+def unreadable(files: DataFrame, kind: str) -> DataFrame:
+    """(path, error) of the rows (path, content) that can't be decoded, so that they can be set aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    decode_file(path, content.as_py(), kind)
+                except (ParseError, KeyError, pa.ArrowException) as e:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "error": [str(e)]})
+
+    return files.where(kind_of(F.col("path")) == kind).select("path", "content").mapInArrow(run, "path string, error string")
 
 
 def stream(spark: SparkSession, path: str, kind: str, max_files: int = 100) -> DataFrame:

@@ -41,9 +41,9 @@ def subscribed(ticks: DataFrame, topics: Collection[str]) -> DataFrame:
 CONTROL = "struct<op:string,topics:array<string>,topic:string,last_n:int>"
 
 
-def controls(messages: DataFrame, body: str = "value") -> DataFrame:
+def controls(messages: DataFrame, body: str = "value", kept: Sequence[str] = ()) -> DataFrame:
     """Control messages (op, topics, topic, last_n): subscribe, unsubscribe and replay; others are left out."""
-    c = messages.select(F.from_json(F.col(body), CONTROL).alias("c")).select("c.*")
+    c = messages.select(*kept, F.from_json(F.col(body), CONTROL).alias("c")).select(*kept, "c.*")
     return c.where(F.col("op").isin("subscribe", "unsubscribe") & F.col("topics").isNotNull() | (F.col("op") == "replay") & F.col("topic").isNotNull())
 
 
@@ -52,3 +52,10 @@ def subscriptions(messages: DataFrame, order: str, client: str = "client") -> Da
     each = messages.where(F.col("op").isin("subscribe", "unsubscribe")).select(client, order, "op", F.explode("topics").alias("topic"))
     last = each.groupBy(client, "topic").agg(F.max_by("op", order).alias("op"))
     return last.where("op = 'subscribe'").select(client, "topic")
+
+
+def lag(deliveries: DataFrame, capacity: int = 256, most: int = 1000, client: str = "client") -> DataFrame:
+    """What clients that read nothing would miss of a batch: a queue drops its oldest ticks beyond its capacity, and whoever lost too many goes."""
+    each = deliveries.groupBy(client).agg(F.count("*").alias("received"))
+    lost = F.greatest(F.col("received") - capacity, F.lit(0).cast("long"))
+    return each.select(client, "received", lost.alias("dropped"), (F.col("received") - capacity >= most).alias("disconnected"))
