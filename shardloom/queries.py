@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import Config, Routing, Shard, TableSpec
+from .config import Shard, TableSpec
 from .functions import cells, scalars
 from .operators import aggregate, joins, scan, timeseries
-from .plans.engine import Engine
 from .plans.ring import RING_SQL, Ring, place, skew
+from .registered import ORACLES, QUERIES, query
+from .registered import sql as _sql
+from .registered import t as _t
 from .sources import line_protocol
 from .streaming import bars, replay, sinks, topics
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _sql(name: str, text: str, *tables: str, oracle: str | None = None, params: list | None = None) -> None:
-    """A query in the engine's SQL; the oracle is the same text unless it is given."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-        engine = Engine(spark, Config(routing=Routing(shard_key="event_type")))
-        for t in tables:
-            engine.register(t, _t(spark, sf, t))
-        return engine.sql(text, params)
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLES[name] = oracle or text
-
-
 # ---------------------------------------------------------------- scans, projections, filters
 
 _sql("scan_projection", "SELECT event_id, event_type, value FROM events", "events")
@@ -140,13 +106,16 @@ def panel_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- joins and set operations
 
-_sql("inner_join_two_key", "SELECT a.o_orderkey AS k, a.o_custkey AS c, b.l_quantity AS q FROM orders AS a INNER JOIN lineitem AS b ON a.o_orderkey = b.l_orderkey AND a.o_orderdate < b.l_shipdate", "orders", "lineitem")
+_sql("inner_join_two_key", "SELECT a.l_orderkey AS k, a.l_linenumber AS n, a.l_quantity AS q, b.l_tax AS tax FROM lineitem AS a INNER JOIN (SELECT l_orderkey, l_linenumber, l_tax FROM lineitem WHERE l_discount > 0.02) AS b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", "lineitem")
+_sql("inner_join_inequality", "SELECT a.o_orderkey AS k, a.o_custkey AS c, b.l_quantity AS q FROM orders AS a INNER JOIN lineitem AS b ON a.o_orderkey = b.l_orderkey AND a.o_orderdate < b.l_shipdate", "orders", "lineitem")
 _sql("inner_join_filtered", "SELECT l.l_orderkey AS k, p.p_name AS p, s.s_name AS s FROM lineitem AS l JOIN part AS p ON l.l_partkey = p.p_partkey JOIN supplier AS s ON l.l_suppkey = s.s_suppkey WHERE p.p_size = 10", "lineitem", "part", "supplier")
 _sql("left_join_unmatched", "SELECT o.o_orderkey FROM orders AS o LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL", "orders", "lineitem")
 _sql("right_join", "SELECT n.n_name, coalesce(s.s_suppkey, -1) AS s FROM supplier AS s RIGHT JOIN nation AS n ON s.s_nationkey = n.n_nationkey", "supplier", "nation")
 _sql("full_outer_join", "SELECT coalesce(a.n_nationkey, -1) AS x, coalesce(b.r_regionkey, -1) AS y FROM nation AS a FULL OUTER JOIN region AS b ON a.n_nationkey = b.r_regionkey", "nation", "region")
 _sql("cross_join_small", "SELECT a.r_name AS x, b.r_name AS y FROM region AS a CROSS JOIN region AS b", "region")
-_sql("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a JOIN nation AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey", "nation")
+_sql("theta_join", "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation AS a JOIN region AS b ON a.n_nationkey < b.r_regionkey + 3", "nation", "region")
+_sql("theta_join_keyed", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a JOIN nation AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey", "nation")
+_sql("natural_join", "SELECT n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) AS r", "nation", "region")
 _sql("comma_join", "SELECT c.c_custkey, n.n_name FROM customer AS c, nation AS n WHERE c.c_nationkey = n.n_nationkey", "customer", "nation")
 _sql("using_join", "SELECT user_id, a.n AS x, b.n AS y FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) AS a JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) AS b USING (user_id)", "events")
 _sql("semi_join", "SELECT p_partkey FROM part LEFT SEMI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS l ON p_partkey = l.l_partkey", "part", "lineitem", oracle="SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
@@ -349,13 +318,28 @@ def ring_skew(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(skew(_t(spark, sf, "events").withColumn("_shard", Ring(_SHARDS).column(F.col("user_id")))))
 
 
-@query("SELECT DISTINCT user_id, 2 AS shard FROM events")
+_THREE = tuple(Shard(k, virtual_nodes=16) for k in (1, 2, 3))
+_FAILOVER = """
+WITH RECURSIVE ring AS (SELECT md5(s || '-' || v) AS token, s AS shard FROM (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest(range(16)) AS v)),
+keys AS (SELECT DISTINCT user_id, CAST(user_id AS VARCHAR) AS k FROM events),
+tries AS (SELECT user_id, 0 AS n, md5(k) AS h FROM keys UNION ALL SELECT user_id, n, md5(k || '#' || n) AS h FROM keys, (SELECT unnest(range(1, 17)) AS n)),
+owned AS (SELECT t.user_id, t.n, coalesce(r.shard, (SELECT arg_min(shard, token) FROM ring)) AS shard FROM tries t ASOF LEFT JOIN ring r ON t.h <= r.token)
+SELECT user_id, CAST(coalesce(arg_min(shard, n) FILTER (shard <> 2), 1) AS INTEGER) AS shard FROM owned GROUP BY user_id
+"""
+
+
+@query(_FAILOVER)
 def ring_failover(spark: SparkSession, sf: str) -> DataFrame:
+    """With one of three shards excluded, its keys are probed under salted names; all others stay where they are."""
+    keys = _t(spark, sf, "events").select("user_id").distinct()
+    return keys.withColumn("shard", Ring(_THREE).failover_column(F.col("user_id"), {2}))
+
+
+@query("SELECT DISTINCT user_id, 2 AS shard FROM events")
+def ring_failover_single(spark: SparkSession, sf: str) -> DataFrame:
     """With one of two shards excluded every key finds the other."""
-    ring = Ring(_SHARDS)
     keys = _t(spark, sf, "events").select("user_id").distinct()
-    first = keys.withColumn("shard", ring.column(F.col("user_id")))
-    return first.withColumn("shard", F.when(F.col("shard") == 1, F.lit(ring.failover("any", {1}))).otherwise(F.col("shard")))
+    return keys.withColumn("shard", Ring(_SHARDS).failover_column(F.col("user_id"), {1}))
 
 
 # ---------------------------------------------------------------- line protocol and topics
@@ -429,6 +413,30 @@ def streaming_replay(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.run_to_memory(replay.live_replay(ticks, 5), f"streaming_replay_{abs(hash(sf)) % 10**9}", "update")
 
 
+def _approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate distinct users and the median, each within a twentieth of the exact one."""
+    events = _t(spark, sf, "events")
+    out = events.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"))
+    return out.select("event_type", (F.abs(F.col("a") - F.col("n")) <= F.col("n") * 0.1).alias("close"))
+
+
+QUERIES["approximate_distinct"], ORACLES["approximate_distinct"] = _approximate, "SELECT DISTINCT event_type, true AS close FROM events"
+
+
+@query("""WITH s AS (SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS ts, avg(value) AS v FROM events WHERE user_id % 9 = 0 GROUP BY ALL),
+g AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL '1 hour')) AS ts FROM s GROUP BY event_type),
+j AS (SELECT g.event_type, g.ts, epoch(g.ts) AS t, s.v, CASE WHEN s.v IS NOT NULL THEN epoch(g.ts) END AS p FROM g LEFT JOIN s ON g.event_type = s.event_type AND g.ts = s.ts),
+b AS (SELECT *, last_value(p IGNORE NULLS) OVER w AS t0, last_value(v IGNORE NULLS) OVER w AS v0, first_value(p IGNORE NULLS) OVER u AS t1, first_value(v IGNORE NULLS) OVER u AS v1 FROM j
+      WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_type, ts, round(CASE WHEN v IS NOT NULL THEN v ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 5) AS v FROM b""")
+def sample_by_fill_linear(spark: SparkSession, sf: str) -> DataFrame:
+    sampled = timeseries.sample_by(_t(spark, sf, "events").where("user_id % 9 = 0"), "1h", {"v": F.avg("value")}, "ts", ["event_type"])
+    return timeseries.fill(sampled, "1h", ["v"], "ts", ["event_type"], "linear").withColumn("v", F.round("v", 5))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars per event type."""
     return QUERIES["ohlcv_1h"](spark, sf)
+
+
+from . import cluster_queries, source_queries, stream_queries  # noqa: E402, F401  (they add to the register)

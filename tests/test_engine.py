@@ -97,3 +97,61 @@ def test_anti_join_and_range_join(spark):
     p = spark.createDataFrame([("x", 1.0), ("x", 250.0)], "k string, at double")
     r = spark.createDataFrame([("x", 0.0, 500.0), ("x", 2.0, 1.0)], "k string, low double, high double")
     assert joins.within(p, r, ["k"], "at", "low", "high", 100.0).count() == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_salted_joins_equal_plain_ones(spark, how):
+    left = spark.createDataFrame([(1, "a")] * 20 + [(2, "b"), (3, "c"), (None, "d")], "k int, x string").repartition(3)
+    right = spark.createDataFrame([(1, 10), (1, 11), (4, 40), (5, 50), (None, 60)], "k int, y int").repartition(2)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(joins.salted(left, right, ["k"], 4, how)) == rows(left.join(right, ["k"], how))
+
+
+@pytest.mark.parametrize("values", [[float(i * 7919 % 10007) for i in range(10007)], [1.0] * 5000 + [2.0] * 5000 + [3.0], [5.0], [None, 2.0, 1.0, None]])
+def test_percentiles_are_exact(spark, values, monkeypatch):
+    monkeypatch.setattr(aggregate, "FEW", 100)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = df.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)") for p in (0.01, 0.5, 0.95, 0.99))).first()
+    assert tuple(aggregate.percentiles(df, "v", 0.01, 0.5, 0.95, 0.99).first()) == tuple(want)
+    assert aggregate.percentiles(df.limit(0), "v", 0.5).first()[0] is None
+
+
+def test_latest_on_keeps_keys_without_a_time(spark):
+    e = Engine(spark)
+    e.register("q", spark.createDataFrame([("a", None, 1.0), ("b", None, 2.0), ("b", T0, 3.0)], "symbol string, ts timestamp_ntz, p double"))
+    assert sorted(tuple(r) for r in e.fetch("SELECT symbol, p FROM q LATEST ON ts PARTITION BY symbol")) == [("a", 1.0), ("b", 3.0)]
+
+
+def test_colocated_join_has_no_exchange(spark):
+    from shardloom.queries import QUERIES
+
+    plan = QUERIES["colocated_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_socket_source(spark):
+    import socket
+    import threading
+
+    from shardloom.sources import line_protocol
+    from shardloom.streaming import sinks
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        client, _ = server.accept()
+        client.sendall(b"trades,symbol=A price=1.5 7\nnothing\ntrades,symbol=B price=2i 8\n")
+        done.wait(20)
+        client.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    rows = line_protocol.parse(line_protocol.stream_socket(spark, "127.0.0.1", server.getsockname()[1]))
+    query = rows.writeStream.format("memory").queryName("socket_lines").start()
+    for _ in range(100):
+        query.processAllAvailable()
+        if spark.table("socket_lines").count() == 2:
+            break
+    done.set()
+    query.stop()
+    assert {r["timestamp_ns"] for r in spark.table("socket_lines").collect()} == {7, 8} and sinks
