@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import forget, materialise
 
 
 def _digest(edges: DataFrame):
@@ -20,7 +20,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     aggregate that combines before the shuffle, so a node with very many links never gathers them in
     one place.  Nodes without links aren't returned; no link gives an empty result.
     """
-    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "cc")
+    paths: list[str] = []
+    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "cc", paths)
     seen = _digest(now)
     for _ in range(limit):
         if seen[0] == 0:
@@ -33,8 +34,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a node, and it, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u != v").distinct(), "cc")
+        now = materialise(small.where("u != v").distinct(), "cc", paths)
         last, seen = seen, _digest(now)
+        forget(edges.sparkSession, *paths[:-1])
+        del paths[:-1]
         if last == seen:
             break
     else:
