@@ -6,23 +6,27 @@ positions.  The cells use softsign gates, which keep numpy at a few operations a
 backpropagation through time in numpy with Adam, on windows drawn from a bounded sample of labelled
 documents, on the driver; the weights (a few thousand numbers) travel in the closure.
 
+Every window begins with a zero state, so a position sees at most `WINDOW` bytes around it.
+
 Defined cases: texts that are null or without a letter are `und` with score 0; where no labelled row can be learnt
-from, every text is `und` with score 0; repeated rows give repeated results; other columns are never read.
+from, every text is `und` with score 0; very long texts are read whole, in slices of windows; repeated rows give repeated
+results; other columns are never read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, crc_fold
+from ._common import crc_fold, materialise, slices
 
 WINDOW = 64
 HIDDEN = 8
-#: Labelled documents that training sees at most.
-SAMPLE = 1600
+#: Labelled documents that training sees at most, and the bytes of the longest text among them.
+SAMPLE, SAMPLE_BYTES = 1600, 128 << 10
 STEPS, BATCH, RATE = 260, 384, 0.02
 #: Below this a document's language is too unsure for the pipeline.
 REJECT_BELOW = 0.35
@@ -111,7 +115,7 @@ class Network:
 
 
 def windows_of(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of texts laid end to end, to windows [n, window], how full each is, and how many each text has."""
+    """Bytes of texts laid end to end, to windows [n, window], how full each is, and how many each text has; zeros fill a text's last one."""
     per = -(-lengths // window)
     owner_start = np.cumsum(lengths) - lengths
     n = int(per.sum())
@@ -121,6 +125,8 @@ def windows_of(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> t
     fill = np.minimum(np.repeat(lengths, per) - k * window, window)
     padded = np.concatenate([data, np.zeros(window, np.uint8)])
     grid = np.lib.stride_tricks.sliding_window_view(padded, window)[start] if n else np.zeros((0, window), np.uint8)
+    part = np.flatnonzero(fill < window)
+    grid[part] = np.where(np.arange(window) < fill[part][:, None], grid[part], 0)
     return grid, fill, per
 
 
@@ -175,25 +181,38 @@ def train(texts: list[bytes], langs: list[str], seed: int = 11, steps: int = STE
 
 
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None:
-    """A model from at most `sample` of the rows that may be learnt from, chosen by a hash of doc_id."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"), "lang", F.md5(F.col("doc_id").cast("string")).alias("o"))
-    got = rows.orderBy("o", F.crc32("text")).limit(sample).collect()
+    """A model from at most `sample` of the rows that may be learnt from, chosen by a hash.
+
+    The rows are counted first, so that only those whose hash lies below a mark, about twice as many as are wanted, leave their
+    tasks: what comes to the driver is bounded by `sample` and `SAMPLE_BYTES`, not by the input.
+    """
+    rows = docs.where(usable & F.col("lang").isNotNull())
+    total = rows.count()
+    if not total:
+        return None
+    spread = 1 << 40
+    mark = min(spread, int(2 * sample / total * spread) + 1)
+    rows = rows.where(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"), "lang", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("o"))
+    rows = rows.where((F.pmod("o", F.lit(spread)) < mark) & (F.octet_length("text") <= SAMPLE_BYTES))
+    got = rows.orderBy(F.pmod("o", F.lit(spread)), "lang").limit(sample).collect()
     return train([bytes(r["text"]) for r in got], [r["lang"] for r in got])
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The named columns with language and score added, under names that aren't among them."""
-    bounded_batches(docs.sparkSession)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*columns, F.lit("und").alias(added[0]), F.lit(0.0).alias(added[1]))
-    plain = docs.select(*columns, F.when(letters, F.col("text").cast("binary")).alias("_text"))
-    schema = plain.drop("_text").withColumns({added[0]: F.lit(""), added[1]: F.lit(0.0)}).schema
+    # a text that is among the columns travels once; a size says that it has letters
+    within = "text" in columns
+    plain = docs.select(F.struct(*columns).alias("row"), F.when(letters, F.octet_length("text")).alias("size"), *([] if within else ["text"]))
+    schema = plain.select("row", F.lit("").alias("label"), F.lit(0.0).alias("score")).schema
     names = np.array([*model.labels, "und"], dtype=object)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.num_columns - 1).fill_null(b"")
+        for b in slices(batches, 1):
+            whole = pc.struct_field(b.column(0), "text") if within else b.column(2)
+            texts = pc.if_else(pc.is_valid(b.column(1)), whole, "").cast(pa.binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
             raw = texts.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -202,9 +221,9 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str], added: tup
             best = p.argmax(axis=1)
             score = np.where(lengths > 0, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             pred = names[np.where(lengths > 0, best, len(model.labels))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], *added])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "label", "score"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).select("row.*", F.col("label").alias(added[0]), F.col("score").alias(added[1]))
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
@@ -214,8 +233,8 @@ def op1_query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents whose language can be told stay; written at once, so that whole rows pass through Python in modest batches."""
     model = fit(docs, crc_fold(F.col("doc_id"), 4) != 2)
     names = docs.columns
-    judged = predict(docs, model, names, ("_judged_lang", "_judged_score"))
+    judged = materialise(predict(docs, model, names, ("_judged_lang", "_judged_score")), "languages")
     return judged.where((F.col("_judged_lang") != "und") & (F.col("_judged_score") >= REJECT_BELOW)).select(*names)
