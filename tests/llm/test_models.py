@@ -109,7 +109,7 @@ def test_index_drops_all_but_the_keeper():
     ix = line_dedup.Index.load(line_dedup.Index.build(h1, h2, np.array([5, 4, 900]), np.array([50, 40, 30]), 5).dump())
     probe = np.array([1, 1, 2, 3, 3, 99], np.uint64)
     tags = np.array([9, 9, 8, 7, 7, 1], np.uint64)
-    gone = ix.drop(probe, tags, np.array([50, 2, 1, 30, line_dedup.NO_ID, 5]), 5)
+    gone = ix.drop(probe, tags, np.array([50, 2, 1, 30, -(2**63), 5]), 5)
     assert gone.tolist()[:5] == [False, True, False, False, True]
 
 
