@@ -18,7 +18,8 @@ Suffixes with the same whole context within a chunk travel once, so a passage th
 exchanged once a chunk.
 
 Defined cases: a null text is empty; texts shorter than `LENGTH` lose nothing; rows with one doc_id never remove each
-other's bytes, so repeated rows stay unless a smaller id holds their strings; a null doc_id counts above all ids.
+other's bytes, so repeated rows stay unless a smaller id holds their strings; a null doc_id counts as the largest id there can be
+(2**63 - 1, and like a row of that id); very long texts are chunks of their own; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, forget, materialise, parts, release, scratch_path
+from ._common import forget, materialise, modest_batches, parts, release, scratch_path, slices
 
 LENGTH, SEED = 50, 24
 SIDE = LENGTH - SEED
 CHUNK = 2 << 20
 #: Anchors of a bucket and suffixes of a range, about.
 BUCKET_ANCHORS, RANGE_SUFFIXES = 2_000_000, 100_000
-NO_ID = 2**63 - 1
+#: Sampled suffixes for each splitter between ranges.
+SPLIT = 16
+LAST_ID = 2**63 - 1
 
 
 def _pack(raw: bytes) -> bytes:
@@ -136,16 +139,17 @@ class Chunk:
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
 
-    def row(self) -> dict:
+    def row(self, nulls: list[bool]) -> dict:
         gaps = np.diff(self.at, prepend=0).astype("<u4").tobytes()
         few = self.at[:: max(1, len(self.at) // 64)]
         return {
             "n_anchors": len(self.at),
             "ids": self.ids.astype("<i8").tobytes(),
+            "nulls": np.packbits(nulls).tobytes(),
             "lengths": self.lengths.astype("<i8").tobytes(),
             "anchors": _pack(gaps),
             "blob": _pack(self.data.tobytes()),
-            "sample": (_prefix(self.data, few) >> np.uint64(1)).astype(np.int64).tolist(),
+            "sample": [self.data[p : p + LENGTH].tobytes() for p in few.tolist()],
         }
 
     @classmethod
@@ -153,35 +157,27 @@ class Chunk:
         return cls(np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8"), np.frombuffer(_unpack(blob), np.uint8), np.cumsum(np.frombuffer(_unpack(anchors_), "<u4").astype(np.int64)))
 
 
-def _prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first eight bytes at the positions, as numbers that sort as the bytes do."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
-
-
-CHUNKS = "chunk long, n_anchors long, ids binary, lengths binary, anchors binary, blob binary, sample array<long>"
+CHUNKS = "chunk long, n_anchors long, ids binary, nulls binary, lengths binary, anchors binary, blob binary, sample array<binary>"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession, 500)
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[int] = []
+        ids: list[int | None] = []
         texts: list[bytes] = []
 
         def flush():
             data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
-            row = Chunk(np.array(ids, np.int64), lengths, data, anchors(data, lengths)).row()
+            row = Chunk(np.array([LAST_ID if d is None else d for d in ids], np.int64), lengths, data, anchors(data, lengths)).row([d is None for d in ids])
             return pa.RecordBatch.from_pylist([{"chunk": (part << 32) | seq, **row}], schema=shape)
 
-        shape = pa.schema([("chunk", pa.int64()), ("n_anchors", pa.int64()), *((c, pa.binary()) for c in ("ids", "lengths", "anchors", "blob")), ("sample", pa.list_(pa.int64()))])
-        for b in batches:
+        shape = pa.schema([("chunk", pa.int64()), ("n_anchors", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "lengths", "anchors", "blob")), ("sample", pa.list_(pa.binary()))])
+        for b in slices(batches, 1):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(NO_ID if d is None else d)
+                ids.append(d)
                 texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= CHUNK:
@@ -218,7 +214,7 @@ def shared_anchors(base: DataFrame, bits: int) -> DataFrame:
 
     def send(batches):
         shape = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary())])
-        for b in batches:
+        for b in slices(batches, 4, 1):  # a chunk at a time
             for r in b.to_pylist():
                 chunk = Chunk.of(r["ids"], r["lengths"], r["anchors"], r["blob"])
                 unique, many, _, _ = _names(chunk, bits)
@@ -243,7 +239,6 @@ def shared_anchors(base: DataFrame, bits: int) -> DataFrame:
             at += len(x)
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "alive": [a for a, _ in out], "n": [len(x) for x in lists], "bits": [b for _, b in out]})
 
-    bounded_batches(base.sparkSession, 8)
     sent = base.select("chunk", "ids", "lengths", "anchors", "blob").mapInArrow(send, "bucket int, chunk long, names binary")
     return sent.groupBy("bucket").applyInPandas(judge, "chunk long, bucket int, alive long, n long, bits binary")
 
@@ -462,14 +457,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], kept)
     bits = max(4, int(np.ceil(np.log2(max(4 * parts(spark), (plan["n"] or 1) / BUCKET_ANCHORS)))))
     alive_path = scratch_path(spark, "shared-anchors")
-    shared_anchors(base, bits).where("alive > 0").write.parquet(alive_path)
+    with modest_batches(spark):
+        shared_anchors(base, bits).where("alive > 0").write.parquet(alive_path)
     release(spark)
     alive = spark.read.parquet(alive_path)
     n_alive = alive.agg(F.sum("alive")).first()[0] or 0
     n_ranges = int(max(2 * parts(spark), n_alive // RANGE_SUFFIXES))
-    quantiles = [i / n_ranges for i in range(1, n_ranges)]
-    cut = base.select(F.explode("sample").alias("p")).agg(F.percentile_approx("p", quantiles, 20 * n_ranges)).first()[0] if plan["n"] else None
-    splitters = np.unique(np.array(cut or [], np.int64)).astype(np.uint64)
+    # whole suffixes from a share of the sampled anchors, some for each range: a common beginning doesn't make a range crowded
+    total = base.agg(F.sum(F.size("sample"))).first()[0] or 1
+    drawn = base.select("chunk", F.posexplode("sample").alias("k", "p")).where(F.pmod(F.xxhash64("chunk", "k"), F.lit(total)) < SPLIT * n_ranges)
+    draws = sorted(bytes(r["p"]) for r in drawn.select("p").collect())
+    splitters = np.unique(np.array([draws[len(draws) * i // n_ranges] for i in range(1, n_ranges)] if draws else [], f"S{LENGTH}"))
     columns = ["chunk", "ids", "lengths", "anchors", "blob"]
 
     def runs_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -486,8 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if len(spans):
                 out.append((int(r["chunk"]) % n_ranges, r["chunk"], True, _pack(spans.astype("<u4").tobytes())))
             if len(rows):
-                first = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(1)
-                piece = np.searchsorted(splitters, first, side="right")
+                piece = np.searchsorted(splitters, np.ascontiguousarray(rows).view(f"S{LENGTH}").ravel(), side="right")
                 edge = np.flatnonzero(np.diff(piece, prepend=-1))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
                     out.append((int(piece[a]), r["chunk"], False, Run.dump(rows[a:b], {k: v[a:b] for k, v in fields.items()})))
@@ -500,7 +497,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         found = judge_range([Run.load(x) for x in own["payload"]], own["chunk"].tolist()) if len(own) else []
         return pd.concat([pdf.loc[pdf["done"], ["chunk", "payload"]], pd.DataFrame(found, columns=["chunk", "payload"]).astype({"chunk": "int64"})], ignore_index=True)
 
-    dealt = both.repartition(n_ranges, "range") if n_ranges <= 4096 else both
+    dealt = both.repartition(n_ranges, "range")
     spans = materialise(dealt.groupBy("range").applyInPandas(merged, "chunk long, payload binary"), "suffix-spans")
     del both, dealt, alive
     forget(spark, alive_path)
@@ -519,12 +516,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             full = chunk.starts[chunk.lengths > 0]
             rise[full] = gone[full]
             removed, begun = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(rise)))
-            for d, a, b in zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
-                out.append((None if d == NO_ID else d, b - a, int(removed[b] - removed[a]), int(begun[b] - begun[a]), chunk.data[a:b][~gone[a:b]].tobytes()))
+            null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(chunk.ids)).astype(bool).tolist()
+            for d, z, a, b in zip(chunk.ids.tolist(), null, chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
+                out.append((None if z else d, b - a, int(removed[b] - removed[a]), int(begun[b] - begun[a]), chunk.data[a:b][~gone[a:b]].tobytes()))
         return pd.DataFrame({c: pd.Series([x[k] for x in out], dtype="Int64" if k < 4 else object) for k, c in enumerate(("doc_id", "n_bytes", "n_removed", "n_spans", "kept"))})
 
-    return base.select(*columns).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(cleaned, kept)
+    return base.select(*columns, "nulls").groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(cleaned, kept)
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of every text, as hexadecimal digits; for small tables.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, k, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 100)) AS s FROM (SELECT r, k, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+low AS (SELECT s, min(k) AS low FROM w GROUP BY s HAVING min(k) <> max(k)),
+g AS (SELECT r, p FROM w JOIN low USING (s) WHERE low < k),
+e AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS b FROM g),
+i AS (SELECT r, p, sum(b) OVER (PARTITION BY r ORDER BY p) AS n FROM e),
+s AS (SELECT r, n, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY r, n),
+x AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS o FROM s),
+t AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substr(h, CAST(2 * o + 1 AS BIGINT), CAST(2 * (a - o) AS BIGINT)), '' ORDER BY a) AS head FROM x JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
