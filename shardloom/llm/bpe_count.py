@@ -10,7 +10,8 @@ count of a blank-delimited chunk depends on the chunk alone and is remembered (a
 worker).  Texts with irregular blanks are cut by the pattern as a whole.
 
 Defined cases: null counts as empty, with 0 bytes and 0 tokens; the text of an added special token counts as
-that one token, as is the library's default; repeated rows give repeated results.
+that one token, as is the library's default; a very long text is counted whole, in a slice of its own; repeated rows give
+repeated results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import slices
 
 #: Remembered chunks per worker.
 MEMORY = 1_000_000
@@ -194,20 +195,11 @@ def counter(path: str, pattern: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every text."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches):
         own = counter(path, pattern)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            counts, at = [], 0
-            while at < len(texts):  # slices of a few MB
-                end, room = at, 4 << 20
-                while end < len(texts) and (room > 0 or end == at):
-                    room -= len(texts[end])
-                    end += 1
-                counts += own.count(texts[at:end])
-                at = end
+        for b in slices(batches, 1):
+            counts = own.count([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     plain = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

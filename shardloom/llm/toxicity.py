@@ -12,8 +12,9 @@ passage and of all its passages.
 Training sees a bounded sample of labelled rows (`SAMPLE`), on the driver; the model is a small dictionary.
 
 Defined cases: null and empty texts have no passage and get the score of such texts; with no usable label of either
-kind every text scores 0; a doc_id with several labels counts as toxic if one of them says so; null labels don't
-count; repeated rows give repeated results.
+kind every text scores 0; a doc_id with several labels counts as toxic if one of them says so, and one with several texts is
+learnt from the first of them in byte order; null labels don't count; very long texts are scanned whole; repeated rows give
+repeated results; other columns are never read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, crc_fold
+from ._common import crc_fold, slices
 
-#: Labelled documents that training sees at most.
-SAMPLE = 6000
+#: Labelled documents that training sees at most, and the bytes of the longest text among them.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 10
 #: Strength of the corpus part of the prior, in tokens; and the z-values a word and a part of one must reach.
 PRIOR, SIGNIFICANT, SIGNIFICANT_PART = 200.0, 3.2, 4.5
 #: Lengths in bytes of the parts of words.
@@ -191,29 +192,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     """A model from at most `sample` labelled rows, chosen by a hash of doc_id."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("_toxic"))
     marks = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).join(marks, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(marks), "doc_id")
+    rows = rows.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).collect()  # one text an id, however many rows repeat it
+    rows.sort(key=lambda r: r["doc_id"])
     return train([bytes(r["text"]) for r in rows], [r["_toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns with score, and passages (first word, last word, score, p-value of each)."""
-    bounded_batches(docs.sparkSession)
-    plain = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
+    plain = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("binary").alias("text"))
     passage = "array<struct<first:int,last:int,score:double,p:double>>"
-    schema = plain.drop("_text").withColumns({"score": F.lit(0.0), "passages": F.lit(None).cast(passage)}).schema
+    schema = plain.select("row", F.lit(0.0).alias("score"), F.lit(None).cast(passage).alias("passages")).schema
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             scores, found = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            for t in b.column(1).to_pylist():
                 own = model.passages(t)[1]
                 scores.append(model.score(own))
                 found.append([dict(zip(("first", "last", "score", "p"), x, strict=True)) for x in own])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*b.schema.names[:-1], "score", "passages"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["row", "score", "passages"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).select("row.*", "score", "passages")
 
 
 def op4_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
