@@ -53,4 +53,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_line_dedup, op4_toxicity, op5_decontamination, op6_suffix_dedup, op7_token_counts, op8_token_files, op9_embedding_dedup, op10_simhash)}
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE, "op9_embedding_dedup": embed_dedup.ORACLE}

@@ -473,7 +473,8 @@ def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     base = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{base}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
     want = c.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, base).toPandas()[list(want.columns)]
     rows = lambda df: sorted(map(tuple, df.astype(str).values.tolist()))
