@@ -94,8 +94,6 @@ def _failure(run) -> tuple[str, str]:
 ('fine', '00000', ''), ('keyed_when_disabled', '00000', ''), ('unclosed', '42601', 'ParseError')) AS e(name, sqlstate, kind)""")
 def statement_errors(spark: SparkSession, sf: str) -> DataFrame:
     """What refused statements answer: the table guard, read-only access, the row cap, and the rest."""
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-
     def engine(**more) -> Engine:
         e = Engine(spark, Config(routing=Routing(shard_key="event_type", **more)))
         e.register("nation", t(spark, sf, "nation"))
@@ -151,7 +149,6 @@ def health_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf: str) -> Engine:
-    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
     engine = Engine(spark)
     for name in ("region", "nation", "events"):
         engine.register(name, t(spark, sf, name))

@@ -74,6 +74,34 @@ def moving_average(df: DataFrame, value: str, n: int = 20, timestamp: str = "ts"
     return df.withColumn(name, F.when(F.count(value).over(w) >= n, F.avg(value).over(w)))
 
 
+def moving_average_sliced(df: DataFrame, value: str, n: int = 20, timestamp: str = "ts", keys: Sequence[str] = (), name: str = "sma", slice_: str = "1 day") -> DataFrame:
+    """`moving_average` for keys with very many rows: rows are cut into slices of time, and each slice begins with the n - 1 rows before it.
+
+    Those come from the slices' own last rows: n - 1 slices with rows hold as many rows at least.
+    """
+    rows = df.withColumn("_slice", F.window(timestamp, slice_)["start"])
+    point = F.struct(F.col(timestamp).alias("t"), F.col(value).alias("v"))
+    back = Window.partitionBy(*keys, "_slice").orderBy(F.col(timestamp).desc())
+    tails = rows.select(*keys, "_slice", point.alias("p"), F.row_number().over(back).alias("_k")).where(F.col("_k") < n)
+    tails = tails.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list("p")).alias("tail"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(-(n - 1), -1)
+    carried = tails.withColumn("tail", F.flatten(F.collect_list("tail").over(before)))
+    carried = carried.select(*keys, "_slice", F.explode(F.slice("tail", F.greatest(F.size("tail") - (n - 2), F.lit(1)), n - 1)).alias("p")) if n > 1 else carried.limit(0)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried.select(*keys, "_slice", F.col("p.t").alias(timestamp), F.col("p.v").alias(value)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy(timestamp).rowsBetween(-(n - 1), 0)
+    return both.withColumn(name, F.when(F.count(value).over(w) >= n, F.avg(value).over(w))).where("_own").drop("_slice", "_own")
+
+
+def range_slices(df: DataFrame, micros: str, back: int, slice_: int) -> DataFrame:
+    """Rows for frames of `back` microseconds before each row, cut into slices of time: `_slice` to partition by beside the keys, and `_own`.
+
+    A row also stands in later slices whose first rows reach back to it; frames are right for rows that are `_own`.
+    """
+    cell = lambda c: F.floor(c / slice_).cast("long")
+    spread = df.withColumn("_slice", F.explode(F.sequence(cell(F.col(micros)), cell(F.col(micros) + back))))
+    return spread.withColumn("_own", F.col("_slice") == cell(F.col(micros)))
+
+
 def upsert(df: DataFrame, keys: Sequence[str], timestamp: str, values: Sequence[str], arrival: str, step: str = "1s") -> DataFrame:
     """One row a key and second: the values that arrived last; rows that lack a value are dropped before."""
     sound = df.where(" AND ".join(f"`{v}` IS NOT NULL" for v in values)) if values else df

@@ -92,18 +92,18 @@ def place(df: DataFrame, ring: Ring, key: str, column: str = SHARD_COLUMN) -> Da
     """Rows with the shard of their key, found once a distinct key with a join on the ring's successor.
 
     Keys are made distinct first; the ring and the keys are then put in order together and each key takes the
-    next token behind it, which is one pass over each first hex digit rather than a comparison with every token.
+    next token behind it, which is one pass over each of 256 slices, by two hex digits, rather than a comparison with every token.
     """
     spark = df.sparkSession
     keys = df.select(F.col(key).cast("string").alias("_k")).where("_k is not null").distinct()
     marks = keys.select(F.md5(F.col("_k").cast("binary")).alias("token"), "_k", F.lit(None).cast("int").alias("shard"))
     tokens = ring.frame(spark)
     # every slice of the ring also gets the token that follows it
-    digit = [f"{d:x}" for d in range(16)]
+    digit = [f"{d:02x}" for d in range(256)]
     ends = [(d, "~", ring.owners[bisect.bisect_right(ring.tokens, d + "~") % len(ring)]) for d in digit]
     tail = spark.createDataFrame(ends, "slice string, token string, shard int")
-    ring_rows = tokens.select(F.substring("token", 1, 1).alias("slice"), "token", "shard").unionByName(tail).withColumn("_k", F.lit(None).cast("string"))
-    both = ring_rows.unionByName(marks.withColumn("slice", F.substring("token", 1, 1)))
+    ring_rows = tokens.select(F.substring("token", 1, 2).alias("slice"), "token", "shard").unionByName(tail).withColumn("_k", F.lit(None).cast("string"))
+    both = ring_rows.unionByName(marks.withColumn("slice", F.substring("token", 1, 2)))
     # a token that equals a key's hash is the key's own: keys come first
     order = Window.partitionBy("slice").orderBy(F.col("token"), F.col("_k").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("shard", F.first("shard", ignorenulls=True).over(order)).where("_k is not null").select("_k", F.col("shard").alias(column))

@@ -221,6 +221,11 @@ def sma_20(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.moving_average(_t(spark, sf, "events"), "value", 20, "ts", ["event_type"]).select("event_id", "event_type", F.round("sma", 6).alias("sma"))
 
 
+@query("SELECT event_id, event_type, CASE WHEN count(value) OVER w >= 20 THEN round(avg(value) OVER w, 6) END AS sma FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def sma_20_sliced(spark: SparkSession, sf: str) -> DataFrame:
+    return timeseries.moving_average_sliced(_t(spark, sf, "events"), "value", 20, "ts", ["event_type"], slice_="6 hours").select("event_id", "event_type", F.round("sma", 6).alias("sma"))
+
+
 _CHANGE = "SELECT user_id, arg_min(value, ts) AS open, arg_max(value, ts) AS last, count(*) AS ticks, arg_max(value, ts) - arg_min(value, ts) AS change, (arg_max(value, ts) - arg_min(value, ts)) / nullif(arg_min(value, ts), 0) * 100 AS change_pct FROM events WHERE value IS NOT NULL GROUP BY user_id"
 
 
@@ -269,6 +274,15 @@ def range_frame(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.count(F.lit(1)).over(w).alias("n"))
 
 
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW) AS n FROM events")
+def range_frame_sliced(spark: SparkSession, sf: str) -> DataFrame:
+    """The same frames where a key's rows are dealt over slices of a day."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = _t(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "event_type", "us")
+    w = Window.partitionBy("event_type", "_slice").orderBy("us").rangeBetween(-3_600_000_000, 0)
+    return timeseries.range_slices(rows, "us", 3_600_000_000, 86_400_000_000).withColumn("n", F.count(F.lit(1)).over(w)).where("_own").select("event_id", "n")
+
+
 @query("SELECT event_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 500")
 def ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
     """The last 500 rows of each topic."""

@@ -32,7 +32,6 @@ def sql(name: str, text: str, *tables: str, oracle: str | None = None, params: l
     """A query in the engine's SQL; the oracle is the same text unless it is given."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         engine = Engine(spark, Config(routing=Routing(shard_key="event_type")))
         for n in tables:
             engine.register(n, t(spark, sf, n))
