@@ -387,3 +387,26 @@ def test_a_tile_joins_what_is_similar():
         assert groups(pairs) == groups(want) and len(pairs) < 70
         other = simhash.Tile(5, zeros, size, np.arange(70), np.tile([4, 5], (70, 1)), slice(split, 70), 0.8, 256)
         assert not other.links(range(split or 70), sets)  # an earlier key has the pairs
+
+
+# ---------------------------------------------------------------- helpers
+
+
+def test_sorted_rows_come_as_whole_groups():
+    import pyarrow as pa
+
+    from shardloom.llm._common import grouped, slices
+
+    keys = [(a, b) for a in range(6) for b in range(3) for _ in range((a * 3 + b) % 7)]
+    table = pa.table({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "x": list(range(len(keys)))})
+    for size in (1, 2, 5, 1000):
+        out = []
+        for rows, edges in grouped(table.to_batches(max_chunksize=size), 2):
+            assert edges[0] == 0 and edges[-1] == rows.num_rows
+            out += [rows.slice(x, y - x).to_pylist() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        assert [r["x"] for g in out for r in g] == list(range(len(keys))) and len(out) == len(set(keys))
+        assert all(len({(r["a"], r["b"]) for r in g}) == 1 for g in out)
+    assert not list(grouped([], 2)) and not list(grouped([table.slice(0, 0).to_batches()[0]] if table.slice(0, 0).to_batches() else [], 2))
+    texts = pa.record_batch({"t": ["x" * n for n in (0, 5, 900, 3, 3, 2000, 1)] + [None]})
+    cut = [b.column(0).to_pylist() for b in slices([texts], 0, 1000)]
+    assert [t for c in cut for t in c] == texts.column(0).to_pylist() and all(len(c) == 1 or sum(len(t or "") for t in c) <= 1000 for c in cut)
