@@ -45,19 +45,32 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right, list(keys), "left_anti")
 
 
-def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join with a few very frequent keys on the left: left rows are dealt over salts, right rows are copied to each.
+#: Rows from which on a key of the left side is dealt over salts.
+CROWD = 1_000_000
 
-    Copies of a right row without a partner would each come out, so right and full joins add the right rows that no left
-    key meets in a join of their own.
+
+def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner", crowd: int = CROWD) -> DataFrame:
+    """An equi-join with a few very frequent keys on the left: their left rows are dealt over salts, their right rows are copied to each.
+
+    Keys with fewer than `crowd` rows stay as they are, so that few right rows are copied, and those are shuffled: Spark takes a
+    copied table for as small as the one that it comes from and would send all copies through the driver.  Left rows with a NULL
+    key, which meet nothing, are dealt too.  Copies of a right row without a partner would each come out, so right and full joins
+    add the right rows that no left key meets in a join of their own.
     """
     if how in ("right", "right_outer", "rightouter", "full", "outer", "full_outer", "fullouter"):
-        met = salted(left, right, keys, salts, "inner" if how.startswith("right") else "left")
+        met = salted(left, right, keys, salts, "inner" if how.startswith("right") else "left", crowd)
         lonely = right.join(left.select(*keys).distinct(), list(keys), "left_anti")
         return met.unionByName(lonely, allowMissingColumns=True).select(*met.columns)
-    dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    frequent = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= crowd).select(*keys, F.lit(True).alias("_crowd"))
+    frequent = F.broadcast(frequent)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    apart = F.col("_crowd").isNotNull()
+    for k in keys:
+        apart = apart | F.col(k).isNull()
+    dealt = left.join(frequent, list(keys), "left").withColumn("_salt", F.when(apart, salt).otherwise(F.lit(0))).select(*left.columns, "_salt")
+    last = F.when(F.col("_crowd"), F.lit(salts - 1)).otherwise(F.lit(0))
+    copied = right.join(frequent, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).select(*right.columns, "_salt")
+    return dealt.join(copied.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def within(points: DataFrame, ranges: DataFrame, by: Sequence[str], at: str, low: str, high: str, step: float) -> DataFrame:

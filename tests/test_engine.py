@@ -107,6 +107,24 @@ def test_salted_joins_equal_plain_ones(spark, how):
     assert rows(joins.salted(left, right, ["k"], 4, how)) == rows(left.join(right, ["k"], how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_salted_joins_with_a_crowd_equal_plain_ones(spark, how):
+    left = spark.createDataFrame([(1, "a")] * 20 + [(2, "b"), (3, "c"), (None, "d")], "k int, x string").repartition(3)
+    right = spark.createDataFrame([(1, 10), (1, 11), (3, 30), (4, 40), (None, 60)], "k int, y int").repartition(2)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(joins.salted(left, right, ["k"], 4, how, crowd=5)) == rows(left.join(right, ["k"], how))
+
+
+def test_salted_join_copies_crowds_alone_and_shuffles_them(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).cast("int").alias("k"))
+    right = spark.range(1000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("y"))
+    out = joins.salted(left, right, ["k"], 16, crowd=100)
+    plan = out._jdf.queryExecution().executedPlan()
+    assert out.count() == 1000 and "SortMergeJoin" in plan.toString()
+    generated = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in generated and "_crowd" in generated
+
+
 @pytest.mark.parametrize("values", [[float(i * 7919 % 10007) for i in range(10007)], [1.0] * 5000 + [2.0] * 5000 + [3.0], [5.0], [None, 2.0, 1.0, None]])
 def test_percentiles_are_exact(spark, values, monkeypatch):
     monkeypatch.setattr(aggregate, "FEW", 100)
