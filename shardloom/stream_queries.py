@@ -21,10 +21,6 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(t(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf}/")
 
 
-def _name(text: str) -> str:
-    return f"{text}_{uuid.uuid4().hex}"
-
-
 def _utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -95,7 +91,7 @@ def streaming_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of an hour that begin every half hour."""
     _utc(spark)
     out = bars.sliding(bars.instants(_stream(spark, sf)), "1 hour", "30 minutes", "value", ["event_type"])
-    done = sinks.run_to_memory(out, _name("streaming_sliding"), "complete")
+    done = sinks.run_to_table(out, "streaming_sliding", "complete")
     return done.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 
 
@@ -105,7 +101,7 @@ SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL '30 minutes' AS "end", co
 def streaming_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of a stream that end after half an hour of silence."""
     _utc(spark)
-    done = sinks.run_to_memory(bars.live_sessions(bars.instants(_stream(spark, sf)), "30 minutes", ["user_id"]), _name("streaming_sessions"), "complete")
+    done = sinks.run_to_memory(bars.live_sessions(bars.instants(_stream(spark, sf)), "30 minutes", ["user_id"]), f"streaming_sessions_{uuid.uuid4().hex}", "complete")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
@@ -115,7 +111,7 @@ def streaming_once(spark: SparkSession, sf: str) -> DataFrame:
     _utc(spark)
     events = bars.instants(_stream(spark, sf))
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return sinks.run_to_memory(bars.once(twice, ["event_id"]), _name("streaming_once"), "append").select("event_id", "event_type", "value")
+    return sinks.run_to_table(bars.once(twice, ["event_id"]), "streaming_once", "append").select("event_id", "event_type", "value")
 
 
 @query("SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '20 minutes' WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
@@ -125,7 +121,7 @@ def streaming_join(spark: SparkSession, sf: str) -> DataFrame:
     clicks = bars.instants(_stream(spark, sf)).where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("click"))
     buys = bars.instants(_stream(spark, sf)).where("event_type = 'purchase'").select("user_id", F.col("ts").alias("then"), F.col("event_id").alias("purchase"))
     out = bars.joined(clicks, buys, ["user_id"], "at", "then", "20 minutes").select("click", "purchase")
-    return sinks.run_to_memory(out, _name("streaming_join"), "append")
+    return sinks.run_to_table(out, "streaming_join", "append")
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")

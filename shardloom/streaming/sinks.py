@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scan import DAY_COLUMN
 from ..plans.ring import SHARD_COLUMN, Ring
+from ..session import scratch
 
 
 def write_sharded(stream: DataFrame, path: str, checkpoint: str, ring: Ring, key: str, timestamp: str) -> StreamingQuery:
@@ -36,3 +37,19 @@ def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """All that a bounded stream gives, once the stream has ended, as a table of files in the shared folder; no row comes to the driver.
+
+    Every batch has a folder of its own, which a retry overwrites.  In complete mode the last one holds the whole result and alone counts.
+    """
+    spark, path, numbers = stream.sparkSession, scratch(stream.sparkSession, name), []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        numbers.append(number)
+
+    deliver(stream, scratch(spark, f"{name}-mark"), save, mode).awaitTermination()
+    kept = numbers[-1:] if mode == "complete" else sorted({*numbers})
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/{n}" for n in kept)) if kept else spark.createDataFrame([], stream.schema)

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+
+from shardloom import queries
 from shardloom.config import Shard
 from shardloom.plans.ring import Ring
 from shardloom.streaming import bars, replay, sinks
@@ -82,6 +85,25 @@ def test_run_to_memory_waits_for_the_end():
     assert sinks.run_to_memory(Slow(), "slow", "append") == "whole"
 
 
+def test_tables_of_streams_come_from_files(spark, tmp_path):
+    rows = [[("A", T0 + dt.timedelta(minutes=m), float(m), m) for m in range(k * 50, k * 50 + 50)] for k in range(3)]
+    read = source(spark, tmp_path / "in", rows)
+    want = spark.createDataFrame(sum(rows, []), SHAPE)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    once = sinks.run_to_table(bars.once(read(), ["n"]), "once", "append")
+    assert plain(once) == plain(want) and len(once.inputFiles()) > 2
+    live = sinks.run_to_table(bars.live_ohlcv(read(), "1 hour", "price", ["symbol"]), "bars", "complete")
+    assert plain(live) == plain(bars.live_ohlcv(want, "1 hour", "price", ["symbol"]))
+    none = sinks.run_to_table(read().where("n < 0"), "none", "append")
+    assert none.count() == 0 and none.columns == want.columns
+
+
+@pytest.mark.parametrize("name", ["streaming_once", "streaming_join", "streaming_sliding", "streaming_ohlcv"])
+def test_results_of_streams_are_not_kept_in_the_driver(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MemoryPlan" not in plan and "LocalRelation" not in plan and "Relation [" in plan
+
+
 def test_replay_holds_no_more_than_its_rows_and_a_chunk():
     import tracemalloc
 
