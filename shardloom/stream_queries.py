@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +99,7 @@ SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL '30 minutes' AS "end", co
 def streaming_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of a stream that end after half an hour of silence."""
     _utc(spark)
-    done = sinks.run_to_memory(bars.live_sessions(bars.instants(_stream(spark, sf)), "30 minutes", ["user_id"]), f"streaming_sessions_{uuid.uuid4().hex}", "complete")
+    done = sinks.run_to_table(bars.live_sessions(bars.instants(_stream(spark, sf)), "30 minutes", ["user_id"]), "streaming_sessions", "complete")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

@@ -98,7 +98,7 @@ def test_tables_of_streams_come_from_files(spark, tmp_path):
     assert none.count() == 0 and none.columns == want.columns
 
 
-@pytest.mark.parametrize("name", ["streaming_once", "streaming_join", "streaming_sliding", "streaming_ohlcv"])
+@pytest.mark.parametrize("name", ["streaming_once", "streaming_sessions", "streaming_join", "streaming_sliding", "streaming_ohlcv"])
 def test_results_of_streams_are_not_kept_in_the_driver(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MemoryPlan" not in plan and "LocalRelation" not in plan and "Relation [" in plan
