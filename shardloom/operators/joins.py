@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -73,12 +74,34 @@ def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int =
     return dealt.join(copied.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
-def within(points: DataFrame, ranges: DataFrame, by: Sequence[str], at: str, low: str, high: str, step: float) -> DataFrame:
+#: Points and ranges of a cell that one group of `within` compares, and pairs that one task compares about.
+SIDE, PAIRS = 2_000, 20_000_000
+
+
+def within(points: DataFrame, ranges: DataFrame, by: Sequence[str], at: str, low: str, high: str, step: float, side: int = SIDE) -> DataFrame:
     """Points that fall into ranges [low, high] of their key, over numbers.
 
     A range is copied to each step-wide cell that it touches, and points meet it in their own cell: an equi-join with
-    a filter instead of a comparison of everything.
+    a filter instead of a comparison of everything.  Cells with many points and ranges are cut into blocks of about `side`
+    of each, every block of points meets every block of ranges once, and there are as many tasks as the pairs, which
+    are counted before, ask for: the result may grow with the square of the tables, but no task's share of it does.
     """
     cells = F.sequence(F.floor(F.col(low) / step).cast("long"), F.floor(F.col(high) / step).cast("long"))
     spread = ranges.where(F.col(low) <= F.col(high)).withColumn("_cell", F.explode(cells))
-    return points.withColumn("_cell", F.floor(F.col(at) / step).cast("long")).join(spread, [*by, "_cell"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
+    placed = points.withColumn("_cell", F.floor(F.col(at) / step).cast("long"))
+    keys = [*by, "_cell"]
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p")).join(spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")), keys)
+    blocks = lambda c: F.ceil(F.col(c) / side).cast("int")
+    pairs = counts.agg(F.sum(F.col("_p").cast("double") * F.col("_r")).alias("n")).first()["n"] or 0
+    tasks = math.ceil(pairs / PAIRS)
+    if tasks <= 1:
+        return placed.join(spread, keys).where(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
+    large = F.broadcast(counts.where((F.col("_p") > side) | (F.col("_r") > side)).select(*keys, blocks("_p").alias("_a"), blocks("_r").alias("_b")))
+    number = lambda c: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(c, F.lit(1))).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
+    left = placed.join(large, keys, "left").withColumn("_i", number(F.col("_a"))).withColumn("_j", each("_b")).drop("_a", "_b")
+    right = spread.join(large, keys, "left").withColumn("_j", number(F.col("_b"))).withColumn("_i", each("_a")).drop("_a", "_b")
+    on = [*keys, "_i", "_j"]
+    tasks = max(tasks, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = left.repartition(tasks, *on).join(right.repartition(tasks, *on).hint("merge"), on)
+    return met.where(F.col(at).between(F.col(low), F.col(high))).drop("_cell", "_i", "_j")

@@ -173,3 +173,15 @@ def test_socket_source(spark):
     done.set()
     query.stop()
     assert {r["timestamp_ns"] for r in spark.table("socket_lines").collect()} == {7, 8} and sinks
+
+
+def test_within_cuts_crowded_cells_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 5_000)
+    p = spark.range(600).select((F.col("id") % 2).cast("int").alias("k"), F.col("id").alias("p"), (F.col("id") % 50 + 0.5).alias("at"))
+    r = spark.range(90).select((F.col("id") % 3).cast("int").alias("k"), F.col("id").alias("r"), (F.col("id") % 40 - 10.0).alias("low"), (F.col("id") % 40 + 10.0).alias("high"))
+    want = p.join(r, "k").where("at BETWEEN low AND high")
+    out = joins.within(p, r, ["k"], "at", "low", "high", 20.0, side=7)
+    rows = lambda df: sorted(tuple(x) for x in df.select("k", "p", "r").collect())
+    assert rows(out) == rows(want)
+    shares = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(shares) > 2 and max(x["count"] for x in shares) < out.count() / 2
