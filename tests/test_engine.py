@@ -185,3 +185,10 @@ def test_within_cuts_crowded_cells_into_blocks(spark, monkeypatch):
     assert rows(out) == rows(want)
     shares = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert len(shares) > 2 and max(x["count"] for x in shares) < out.count() / 2
+
+
+def test_approximate_distinct_keeps_no_sketch_for_each_user(spark):
+    from shardloom.queries import QUERIES
+
+    plan = QUERIES["approximate_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "keys=[event_type" in x and "user_id" in x.split("functions=")[0] and "approx_count_distinct" in x]
