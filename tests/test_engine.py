@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardloom.config import Config, Routing
@@ -187,6 +188,24 @@ def test_within_cuts_crowded_cells_into_blocks(spark, monkeypatch):
     assert len(shares) > 2 and max(x["count"] for x in shares) < out.count() / 2
 
 
+def test_range_counts_equal_frames(spark):
+    rows = [("a", i, None if i == 5 else (i * 37) % 211 - 50) for i in range(150)] + [("b", 1000, 3), ("b", 1001, 3), (None, 1002, 10), (None, 1003, 12)]
+    df = spark.createDataFrame(rows, "k string, id int, us bigint")
+    w = Window.partitionBy("k").orderBy("us").rangeBetween(-20, 0)
+    plain = lambda x: sorted(map(tuple, x.select("id", "n").collect()))
+    want = plain(df.withColumn("n", F.count(F.lit(1)).over(w)))
+    for slice_ in (7, 20, 1000):
+        assert plain(timeseries.range_counts(df, ["k"], "us", 20, slice_)) == want
+
+
+@pytest.mark.parametrize("name", ["range_frame", "range_frame_sliced"])
+def test_range_frames_are_running_sums_of_slices(spark, name):
+    from shardloom.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, -" not in plan and "_slice" in plan
+
+
 def test_approximate_distinct_keeps_no_sketch_for_each_user(spark):
     from shardloom.queries import QUERIES
 
