@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,21 +76,69 @@ def list_objects(spark: SparkSession, path: str, bucket: str) -> DataFrame:
     return files.select(F.lit(bucket).alias("bucket"), F.col("path").alias("key"), F.md5(F.concat_ws("-", "length", "modificationTime").cast("binary")).alias("etag"))
 
 
+#: Threads that give files their names; each waits for the store most of the time.
+MOVERS = 16
+#: For writers of very many small files: tasks move their own files to the end, the driver doesn't move all of them one by one.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def put_objects(files: DataFrame, root: str) -> None:
     """Rows (path, content) to files of their own below a folder, written by the executors and then given their names.
 
-    Behind the content stands a line's end, which readers of framed formats don't see.
+    Behind the content stands a line's end, which readers of framed formats don't see.  The rows are computed once.  A mounted folder
+    gets its files from the tasks under their names; in other stores Spark writes them, with their paths beside them, the executors
+    list them, and the driver renames them.
     """
     spark = files.sparkSession
-    staged = f"{root.rstrip('/')}-staged"
-    files.select("content", F.md5(F.col("path").cast("binary")).alias("_name")).select(F.col("content").cast("string"), "_name").write.partitionBy("_name").text(staged)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = lambda text: jvm.org.apache.hadoop.fs.Path(text)
     store = place(root).getFileSystem(conf)
-    for r in files.select("path", F.md5(F.col("path").cast("binary")).alias("name")).toLocalIterator():
-        target = place(f"{root}/{r['path']}")
-        store.mkdirs(target.getParent())
-        for found in store.listStatus(place(f"{staged}/_name={r['name']}")):
-            if found.getPath().getName().startswith("part-"):
-                store.rename(found.getPath(), target)
+    if store.getUri().getScheme() == "file":
+        _put_mounted(files, place(root).toUri().getPath())
+    else:
+        _put_renamed(files, root, store, place)
+
+
+def _put_mounted(files: DataFrame, folder: str) -> None:
+    """`put_objects` for a folder that all machines see; a file appears whole, also where a task runs twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                target = f"{folder}/{path}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(content.as_buffer())
+                    out.write(b"\n")
+                os.replace(part, target)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    files.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).first()
+
+
+def _put_renamed(files: DataFrame, root: str, store, place: Callable) -> None:
+    """`put_objects` for a store that only Spark reaches."""
+    spark = files.sparkSession
+    staged = f"{root.rstrip('/')}-staged"
+    name = F.md5(F.col("path").cast("binary"))
+    both = F.array(F.struct(F.col("content").cast("string").alias("value"), name.alias("_name")), F.struct(F.hex(F.encode("path", "UTF-8")).alias("value"), F.lit("paths").alias("_name")))
+    files.select(F.explode(both).alias("r")).select("r.*").write.partitionBy("_name").options(**BY_TASKS).text(staged)
+    if not store.exists(place(f"{staged}/_name=paths")):
+        store.delete(place(staged), True)
+        return
+    found: dict[str, list[str]] = {}
+    for part in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(staged).inputFiles():
+        folder, _, file = part.rpartition("/")
+        found.setdefault(folder.rpartition("=")[2], []).append(file)
+    paths = [bytes.fromhex(r["value"]).decode() for r in spark.read.text(f"{staged}/_name=paths").distinct().toLocalIterator()]
+    with ThreadPoolExecutor(MOVERS) as movers:
+        list(movers.map(lambda folder: store.mkdirs(place(folder)), {f"{root}/{p}".rpartition("/")[0] for p in paths}))
+
+        def move(path: str) -> None:
+            key = hashlib.md5(path.encode()).hexdigest()
+            for file in found[key]:
+                store.rename(place(f"{staged}/_name={key}/{file}"), place(f"{root}/{path}"))
+
+        list(movers.map(move, paths))
     store.delete(place(staged), True)

@@ -166,3 +166,27 @@ def test_sharded_layout_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_shard" in out._jdf.queryExecution().toString() and engine.counts["pruned"] == 1
     assert out.count() == 1 or out.count() == 3
     assert scan_shards(spark, [path, str(tmp_path / "absent")], spark.read.parquet(path).select("symbol", "price").schema).count() == 90
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_objects_are_computed_once_and_keep_their_bytes(spark, tmp_path, mounted, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    content = {f"data/trades/A {k}.B/x%20{k}ü.feather": trade_file([(100 + k, 1000, 1, "t", 10**18)]) for k in range(40)}
+
+    def build(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    root = (tmp_path / "lake").as_uri()
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in content.items()], "path string, content binary").mapInArrow(build, "path string, content binary")
+    if not mounted:
+        monkeypatch.setattr(objects, "_put_mounted", lambda files, folder: objects._put_renamed(files, root, place(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    objects.put_objects(files, root)
+    assert made.value == 40
+    found = {str(f.relative_to(tmp_path / "lake")): f.read_bytes() for f in (tmp_path / "lake").rglob("*.feather")}
+    if mounted:
+        assert found == {p: c + b"\n" for p, c in content.items()}
+    assert set(found) == set(content) and not (tmp_path / "lake-staged").exists()
+    assert tick_files.read(spark, root, tick_files.TRADES).count() == 40
