@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from itertools import batched
 
@@ -26,9 +27,10 @@ def ingest(spark: SparkSession, listing: DataFrame, kind: str, target: str, chec
     done = 0
     for part in batched((tuple(r) for r in wanted.select("bucket", "key", "etag").toLocalIterator()), OBJECTS):
         _write(spark, [key for _, key, _ in part], kind, target, ring, attempts)
-        # counted from what was written, without reading the objects again
+        # counted from what was written, without reading the objects or other folders of the layout again
         named = spark.createDataFrame(part, "bucket string, key string, etag string").withColumn("_object", F.md5(F.col("key").cast("binary")))
-        written = spark.read.parquet(target).join(F.broadcast(named), "_object").groupBy("bucket", "key", "etag").agg(F.count("*").alias("rows"))
+        folders = [f"{target}/_object={hashlib.md5(key.encode()).hexdigest()}" for _, key, _ in part]
+        written = spark.read.option("basePath", target).parquet(*folders).join(F.broadcast(named), "_object").groupBy("bucket", "key", "etag").agg(F.count("*").alias("rows"))
         objects.mark_processed(written, checkpoint)
         done += len(part)
     return done
@@ -40,7 +42,7 @@ def _write(spark: SparkSession, keys: list[str], kind: str, target: str, ring: R
         try:
             ticks = tick_files.with_time(tick_files.decode(spark.read.format("binaryFile").load(keys), kind))
             placed = ticks.withColumns({"_object": F.md5(F.col("path").cast("binary")), SHARD_COLUMN: ring.column(F.col("symbol")), DAY_COLUMN: F.to_date("timestamp")})
-            placed.sortWithinPartitions("_object", SHARD_COLUMN, DAY_COLUMN, "symbol", "timestamp").write.partitionBy("_object", SHARD_COLUMN, DAY_COLUMN).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+            placed.sortWithinPartitions("_object", SHARD_COLUMN, DAY_COLUMN, "symbol", "timestamp").write.partitionBy("_object", SHARD_COLUMN, DAY_COLUMN).mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**objects.BY_TASKS).parquet(target)
             return
         except Exception as e:
             if attempt + 1 == attempts or "ParseError" in str(e):

@@ -190,3 +190,17 @@ def test_objects_are_computed_once_and_keep_their_bytes(spark, tmp_path, mounted
         assert found == {p: c + b"\n" for p, c in content.items()}
     assert set(found) == set(content) and not (tmp_path / "lake-staged").exists()
     assert tick_files.read(spark, root, tick_files.TRADES).count() == 40
+
+
+def test_ingest_counts_in_the_folders_of_its_own_objects(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in" / "data" / "trades" / "A.B"
+    folder.mkdir(parents=True)
+    for k in range(3):
+        (folder / f"{k}.feather").write_bytes(trade_file([(100, 1000, 1, "t", 10**18)] * (k + 1)))
+    read, mark_processed = [], objects.mark_processed
+    monkeypatch.setattr(ingest, "OBJECTS", 1)
+    monkeypatch.setattr(objects, "mark_processed", lambda done, path: (read.append(len(done.inputFiles())), mark_processed(done, path)))
+    listing = objects.list_objects(spark, str(tmp_path / "in"), "b")
+    assert ingest.ingest(spark, listing, "trades", str(tmp_path / "out"), str(tmp_path / "mark"), Ring([Shard(1), Shard(2)])) == 3
+    assert read == [1, 1, 1]
+    assert sorted(r["rows"] for r in objects.read_checkpoint(spark, str(tmp_path / "mark")).collect()) == [1, 2, 3]
